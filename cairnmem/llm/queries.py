@@ -4,22 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairnmem.llm import packing
+from cairnmem.llm import exact_dedup, packing, pii, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal texts, and the row of each that stays."""
+    return exact_dedup.classes(_documents(spark, sf_dir))
+
+
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text, by kind and place."""
+    found = pii.find(_documents(spark, sf_dir))
+    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, found by the separators of flat token files."""
+    return token_counts.document_token_counts(_documents(spark, sf_dir)).select("doc_id", "n_tokens", "ended")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into power-of-two sequences of at most 1024 tokens."""
     return packing.pack(_documents(spark, sf_dir), max_tokens=1024, end_id=0, with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op5_pii": op5_pii,
+    "op6_token_counts": op6_token_counts,
     "op8_packing": op8_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
+        FROM t WINDOW g AS (PARTITION BY text_sha256)
+    """,
+}

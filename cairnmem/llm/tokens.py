@@ -29,8 +29,13 @@ def encoder(ranks_path: str | None = None):
     )
 
 
-def encode(text: str | None, ranks_path: str | None = None) -> np.ndarray:
-    """Ids of one text as uint32; none for a null or empty text."""
+def encode(text: str | None, ranks_path: str | None = None, special: bool = True) -> np.ndarray:
+    """Ids of one text as uint32; none for a null or empty text.
+
+    ``special=False`` takes the special token's text for ordinary text, so its id cannot occur.
+    """
     if not text:
         return np.empty(0, np.uint32)
-    return encoder(ranks_path).encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
+    own = encoder(ranks_path)
+    ids = own.encode_to_numpy(text, allowed_special="all" if special else set(), disallowed_special=())
+    return ids.astype(np.uint32, copy=False)
