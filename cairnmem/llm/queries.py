@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmem.llm import exact_dedup, packing, pii, token_counts
+from cairnmem.llm import decontaminate, exact_dedup, packing, pii, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _joined(spans: Column) -> Column:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every text, by kind and place."""
     found = pii.find(_documents(spark, sf_dir))
-    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
     return found.select(
         "doc_id",
         *counts,
@@ -41,16 +41,28 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(_documents(spark, sf_dir)).select("doc_id", "n_tokens", "ended")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the place and the similarity."""
+    return decontaminate.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into power-of-two sequences of at most 1024 tokens."""
     return packing.pack(_documents(spark, sf_dir), max_tokens=1024, end_id=0, with_ids=False)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near-equal bytes that keep equal texts together."""
+    return sharding.shard(_documents(spark, sf_dir), shards=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
