@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmem.llm import decontaminate, exact_dedup, packing, pii, sharding, token_counts
+from cairnmem.llm import decontaminate, exact_dedup, packing, pii, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), max_tokens=1024, end_id=0, with_ids=False)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels of four folds of five."""
+    return quality.scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near-equal bytes that keep equal texts together."""
     return sharding.shard(_documents(spark, sf_dir), shards=8)
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_sharding": op10_sharding,
 }
 
