@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmem.llm import decontaminate, exact_dedup, packing, pii, quality, sharding, token_counts
+from cairnmem.llm import decontaminate, exact_dedup, packing, pii, quality, sharding, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the passages of 35 words that occur elsewhere."""
+    kept = substring_dedup.remove_repeats(_documents(spark, sf_dir), min_words=35, with_text=False)
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256", "longest")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -63,6 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
