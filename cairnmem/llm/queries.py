@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmem.llm import decontaminate, exact_dedup, packing, pii, quality, sharding, substring_dedup, token_counts
+from cairnmem.llm import decontaminate, exact_dedup, lm_score, packing, pii, quality, sharding, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all texts under a bigram model with learned mixture weights."""
+    return lm_score.scores(_documents(spark, sf_dir))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without the passages of 35 words that occur elsewhere."""
     kept = substring_dedup.remove_repeats(_documents(spark, sf_dir), min_words=35, with_text=False)
@@ -69,6 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
