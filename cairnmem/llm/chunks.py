@@ -52,10 +52,11 @@ def _ipc(table: pa.Table) -> bytes:
 
 @dataclass
 class Chunk:
-    """One decoded chunk: documents, and the codes of their words."""
+    """One decoded chunk: documents (their ids and a hash of their texts), and the codes of their words."""
 
     number: int
     doc_ids: pa.Array
+    marks: pa.Array
     counts: np.ndarray
     vocab: pa.Array
     ids: np.ndarray
@@ -66,8 +67,8 @@ class Chunk:
         docs = pa.ipc.open_stream(row["docs"]).read_all().combine_chunks()
         vocab = pa.ipc.open_stream(row["vocab"]).read_all()["word"].combine_chunks()
         vocab = vocab if isinstance(vocab, pa.Array) else pa.array([], pa.large_string())
-        doc_ids = docs["doc_id"].combine_chunks()
-        return cls(row["chunk"], doc_ids, docs["n"].to_numpy(), vocab, unsqueeze(row["ids"], "<i4"))
+        doc_ids, marks = (docs[c].combine_chunks() for c in ("doc_id", "mark"))
+        return cls(row["chunk"], doc_ids, marks, docs["n"].to_numpy(), vocab, unsqueeze(row["ids"], "<i4"))
 
     def rows(self) -> np.ndarray:
         """A number of each document that no other document has, also if doc_ids repeat."""
@@ -97,7 +98,7 @@ def tokenised(
         for table in words.text_chunks(batches, limit=chunk_bytes):
             flat, counts = words.split(table["text"], lower)
             vocab, ids = words.coded(flat)
-            about = _ipc(pa.table({"doc_id": table["doc_id"], "n": pa.array(counts)}))
+            about = _ipc(pa.table({"doc_id": table["doc_id"], "mark": table["mark"], "n": pa.array(counts)}))
             cols = [[number], [len(ids)], [about], [_ipc(pa.table({"word": vocab}))], [squeeze(ids.astype("<i4"))]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(cols)],
@@ -105,7 +106,8 @@ def tokenised(
             )
             number += 1
 
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     return stage.write(thin.mapInArrow(work, CHUNK_SCHEMA), "chunks")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmem.llm import decontaminate, exact_dedup, lm_score, packing, pii, quality, sharding, substring_dedup, token_counts
+from cairnmem.llm import decontaminate, exact_dedup, jaccard_join, lm_score, packing, pii, quality, sharding, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256", "longest")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents whose sets of 4-word shingles have a similarity of 0.85 or more."""
+    found = jaccard_join.near_copies(_documents(spark, sf_dir), n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
