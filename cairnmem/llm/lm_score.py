@@ -76,11 +76,14 @@ class Ngrams:
         return np.bincount(self.key_of, counts, len(self.keys)).astype("<u4")
 
     def parted(self, by_key: np.ndarray, documents: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By token: the counts of its pair, its context (``documents`` for a start) and itself."""
+        """By pair: the counts of the pair, its context (``documents`` for a start) and its token."""
         own = by_key[self.key_of].astype(np.float64)
         unigram, pair = own[: self.n_codes], own[self.n_codes :]
-        context = np.append(unigram, documents)[self.contexts]
-        return pair[self.pair_of], context[self.pair_of], unigram[self.tokens]
+        return pair, np.append(unigram, documents)[self.contexts], unigram[self.pairs % (self.n_codes + 1)]
+
+    def summed(self, by_pair: np.ndarray, documents: int) -> np.ndarray:
+        """Sums of what the pairs have, by document."""
+        return np.bincount(self.owner, by_pair[self.pair_of], documents)
 
 
 def _remainders(c: chunks.Chunk) -> np.ndarray:
@@ -173,8 +176,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         pair, context, own = grams.parted(count, starts_left)
         two = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0) * (v_left + 1)
         one = own / max(n_left, 1) * (v_left + 1)
-        cells, times = np.unique((_context_bucket(context) * _SPAN + _steps(two)) * _SPAN + _steps(one), return_counts=True)
-        return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(times, pa.int64())})
+        cells, of = np.unique((_context_bucket(context) * _SPAN + _steps(two)) * _SPAN + _steps(one), return_inverse=True)
+        times = np.bincount(of, np.bincount(grams.pair_of, minlength=len(of)), len(cells)).astype(np.int64)
+        return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(times)})
 
     of_part = part.groupBy("chunk").cogroup(replies.where(F.col("chunk") >= chunks.SERIES).groupBy("chunk"))
     found = of_part.applyInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
@@ -194,10 +198,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 "doc_id": c.doc_ids,
                 "held_out": pa.array(_held_out(_remainders(c))),
                 "n_tokens": pa.array(c.counts + 1),
-                "n_known": pa.array(np.bincount(grams.owner, own > 0, d).astype(np.int64)),
+                "n_known": pa.array(grams.summed((own > 0).astype(np.float64), d).astype(np.int64)),
                 "train_tokens": pa.array(np.full(d, n, np.int64)),
-                "base_score": pa.array(np.bincount(grams.owner, base, d)),
-                "score": pa.array(np.bincount(grams.owner, log, d)),
+                "base_score": pa.array(grams.summed(base, d)),
+                "score": pa.array(grams.summed(log, d)),
             }
         )
 

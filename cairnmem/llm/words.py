@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are handled at once.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
