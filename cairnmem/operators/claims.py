@@ -214,6 +214,28 @@ def claim_status(claims: DataFrame, aliases: DataFrame, policies: DataFrame, now
     return df.select("claim_id", status.alias("status"))
 
 
+def pair_codes(claims: DataFrame) -> DataFrame:
+    """All pairs of claims of one subject and relation, with the codes that tell how they stand to each other."""
+    keys = ("src", "rel_type")
+    columns = ("claim_id", "namespace", "dst", "polarity", "modality", "confidence_band", "source_memory_rid", "extractor")
+    pairs = _side(claims, "a", keys, columns).join(_side(claims, "b", keys, columns), list(keys)).where("claim_id_a < claim_id_b")
+
+    def code(condition: str, name: str) -> Column:
+        return F.when(F.expr(condition), name)
+
+    alike = "dst_a = dst_b and polarity_a = polarity_b and polarity_a <> 0"
+    codes = F.array(
+        code("dst_a <> dst_b and polarity_a = 1 and polarity_b = 1", "same_subject_same_relation_distinct_object"),
+        code("dst_a = dst_b and polarity_a * polarity_b = -1", "negation_detected"),
+        code("modality_a <> modality_b", "modality_mismatch"),
+        code("namespace_a <> namespace_b", "cross_namespace_coexistence"),
+        code(f"{alike} and source_memory_rid_a <> source_memory_rid_b", "corroborated_multi_source"),
+        code(f"{alike} and source_memory_rid_a = source_memory_rid_b and extractor_a = extractor_b", "self_reinforcing_duplicate_skipped"),
+        code("'low' in (confidence_band_a, confidence_band_b)", "low_relation_extraction_confidence"),
+    )
+    return pairs.select(*keys, "claim_id_a", "claim_id_b", F.filter(codes, lambda x: x.isNotNull()).alias("codes"))
+
+
 # Relations whose contradictions matter most, and those of preference.
 IDENTITY = ("works_at", "lives_in", "birthday", "spouse")
 PREFERENCE = ("likes", "favorite", "prefers", "dislikes")

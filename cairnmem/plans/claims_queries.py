@@ -213,6 +213,29 @@ def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.claim_status(tables.claims(spark, sf_dir), tables.aliases(spark), tables.policies(spark), PRESENT)
 
 
+@query(
+    given(
+        CLAIMS,
+        body="""
+        , p AS (SELECT a.dst = b.dst AS same, a.polarity AS x, b.polarity AS y, a.modality <> b.modality AS m, a.namespace <> b.namespace AS n, a.source_memory_rid = b.source_memory_rid AS s,
+            a.extractor = b.extractor AS e, a.confidence_band = 'low' OR b.confidence_band = 'low' AS l FROM claims a JOIN claims b USING (src, rel_type) WHERE a.claim_id < b.claim_id),
+        codes AS (
+            SELECT 'same_subject_same_relation_distinct_object' AS code, count(*) FILTER (NOT same AND x = 1 AND y = 1) AS n FROM p
+            UNION ALL SELECT 'negation_detected', count(*) FILTER (same AND x * y = -1) FROM p UNION ALL SELECT 'modality_mismatch', count(*) FILTER (m) FROM p
+            UNION ALL SELECT 'cross_namespace_coexistence', count(*) FILTER (n) FROM p
+            UNION ALL SELECT 'corroborated_multi_source', count(*) FILTER (same AND x = y AND x <> 0 AND NOT s) FROM p
+            UNION ALL SELECT 'self_reinforcing_duplicate_skipped', count(*) FILTER (same AND x = y AND x <> 0 AND s AND e) FROM p
+            UNION ALL SELECT 'low_relation_extraction_confidence', count(*) FILTER (l) FROM p
+        )
+        SELECT code, n FROM codes WHERE n > 0""",
+    )
+)
+def claim_pair_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of claims each code holds for."""
+    found = c.pair_codes(tables.claims(spark, sf_dir)).select(F.explode("codes").alias("code"))
+    return found.groupBy("code").agg(F.count("*").alias("n"))
+
+
 @query(
     given(
         CLAIMS, _ALIASES,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cairnmem.operators import graph, lifecycle, oplog
 from cairnmem.plans.registry import query
 from cairnmem.plans.sql import EDGE_LOG, MEMORIES, OPLOG, given
-from cairnmem.sources import exchange, tables
+from cairnmem.sources import exchange, synthetic, tables, tenants
 from cairnmem.sources.tables import NOW
 from cairnmem.streaming import events as streams
 
@@ -311,6 +311,28 @@ def oplog_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.apply(log.where(~last.isin("7", "9")), incoming)[1]
 
 
+@query(given(MEMORIES, body="SELECT namespace, count(*) AS n FROM memories WHERE importance > 0.25 GROUP BY namespace"))
+def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any SQL, with parameters."""
+    statement = "SELECT namespace, count(*) AS n FROM memories_view WHERE importance > :least GROUP BY namespace"
+    return tenants.query(spark, {"memories_view": _m(spark, sf_dir)}, statement, {"least": 0.25})
+
+
+@query("SELECT 5000 AS n, 5000 AS n_rids, true AS in_range")
+def synthetic_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic memories: as many as asked for, each with an id of its own, in range."""
+    fine = (F.col("importance").between(0, 1) & F.col("valence").between(-1, 1) & (F.col("created_at") <= NOW)).alias("fine")
+    one = synthetic.life(spark, 5000, NOW).select("rid", fine)
+    return one.agg(F.count("*").alias("n"), F.countDistinct("rid").alias("n_rids"), F.min("fine").alias("in_range"))
+
+
+@query("SELECT sum(epoch_us(ts) % 1000003)::bigint AS mark, count(*) AS n_rows FROM events")
+def snapshot_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's rows and a mark that no order changes."""
+    e = tables.table(spark, sf_dir, "events")
+    return e.agg(F.sum(F.unix_micros(F.col("ts").cast("timestamp")) % 1000003).alias("mark"), F.count("*").alias("n_rows"))
+
+
 @query(given(OPLOG, body="SELECT op_id FROM oplog WHERE right(op_id, 1) = '4'"))
 def oplog_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = tables.oplog(spark, sf_dir)
