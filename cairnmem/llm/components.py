@@ -9,36 +9,26 @@ MAX_ROUNDS = 64
 
 
 def components(links: DataFrame, stage: Stage) -> DataFrame:
-    """(id, root) for every end of the links (a, b), root being the smallest id of its component.
-
-    Each round points every node's larger neighbours, then its smaller ones, at its smallest
-    neighbour, which needs a number of rounds in the logarithm of the size.  Minima are reduced before
-    the shuffle and joined back as a table of their own, so a node with a great many neighbours is a
-    hot key of a plain join, which adaptive execution splits.
+    """(id, root) of every end of the links (a, b) but the roots themselves: the smallest id of its
+    component, once for each id.
+
+    Each round points every node's larger neighbours at its smallest neighbour, and then, if any node
+    still points at two or at one that points on, its smaller ones too; that takes a number of rounds in
+    the logarithm of the size.  Minima are reduced before the shuffle and joined back as a table of
+    their own, so a node with a great many neighbours is a hot key of a plain join, which adaptive
+    execution splits.
     """
-    edges = stage.write(_distinct(links.select("a", "b")), "links")
-    seen = _mark(edges)
+    edges = stage.write(links.select("a", "b").where("a != b"), "links")
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stage.write(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stage.write(_distinct(large), "large")
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = stage.write(down.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stage.write(_distinct(small.select("e.a", "e.b")), "small")
-        now = _mark(edges)
-        if now == seen:
+        edges = stage.write(large.where("a != b"), "large")
+        down = stage.write(edges.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most")), "down")
+        forked = down.where("m < most").limit(1).count()
+        if not forked and not down.join(down.select(F.col("m").alias("a")), "a", "left_semi").limit(1).count():
             break
-        seen = now
-    ends = edges.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root"))
-    return ends.unionByName(ends.select(F.col("root").alias("id"), "root")).groupBy("id").agg(F.min("root").alias("root"))
-
-
-def _distinct(edges: DataFrame) -> DataFrame:
-    return edges.where("a != b").distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """What tells two sets of edges apart."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first())
+        ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        small = edges.join(down, "a").select(ends.alias("e")).select("e.a", "e.b").where("a != b").distinct()
+        edges = stage.write(small, "small")
+    return down.select(F.col("a").alias("id"), F.col("m").alias("root"))

@@ -13,8 +13,8 @@ threshold.  The result names the components of these links.
 4. Candidates are verified by counting the overlap of each fragment separately and summing per pair.
 
 Candidates come in rounds.  In a list of the documents of a prefix n-gram, each document is first
-paired with the list's leader (another one each round), one pair a document and round; documents
-that are connected already need no pair.  When a round connects nothing more, all remaining pairs
+paired with leaders of the list (others each round): one pair a document, then four, and so on
+up to ``MAX_LEADERS``; documents that are connected already need no pair.  When a round connects nothing more, all remaining pairs
 within a list, between different components, are verified.  So a large group of near copies costs a
 few pairs a member, and no link between different components is ever skipped.
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnmem.llm import chunks, words
@@ -40,7 +40,9 @@ from cairnmem.llm.components import components
 from cairnmem.llm.staging import Stage
 
 FRAGMENTS = 8
-MAX_ROUNDS = 8
+MAX_ROUNDS = 5
+PAIRS_PER_ENTRY = 1
+MAX_LEADERS = 64
 #: Distinct n-grams of representatives in a block of the second exchange, about.
 BLOCK_KEYS = 1 << 20
 
@@ -57,9 +59,9 @@ def shingles(c: chunks.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
             whole = words.windows(h, length)[begins[short]]
             owner.append(short)
             key.append(words.mix(whole, np.full(len(short), length, np.uint64)))
-    distinct, of = np.unique(np.concatenate(key), return_inverse=True)
-    pairs = np.unique(np.concatenate(owner) * np.int64(max(len(distinct), 1)) + of)
-    return pairs // max(len(distinct), 1), distinct[pairs % max(len(distinct), 1)]
+    codes, of = np.unique(np.concatenate(key), return_inverse=True)
+    pairs = words.distinct(np.concatenate(owner) * np.int64(max(len(codes), 1)) + of)
+    return pairs // max(len(codes), 1), codes[pairs % max(len(codes), 1)]
 
 
 def _sets(corpus: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame:
@@ -251,32 +253,55 @@ class _Join:
         self.labels = stage.write(index.select("row", F.col("row").alias("root")).distinct(), "labels")
         self.tested = index.sparkSession.createDataFrame([], "a long, b long")
 
-    def _open_lists(self, seed: int) -> tuple[DataFrame, DataFrame]:
-        """The index entries with labels, and the lists that hold more than one component, with their leaders."""
-        entries = self.stage.write(self.index.join(self.labels, "row"), "entries")
-        leader = F.min(F.struct(F.xxhash64("row", F.lit(seed)).alias("h"), "row", "size", "pos", "root")).alias("lead")
-        lists = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), leader).where("lo < hi")
-        return entries, self.stage.write(lists.select("token", "lead"), "lists")
+    def run(self, rounds: int = MAX_ROUNDS) -> None:
+        """Connect everything that links."""
+        size = self.index.count()
+        leaders = 1
+        for k in range(rounds):
+            self._open()
+            # Pairs in proportion to the index are looked at directly; more are thinned out by leaders.
+            if k and self._open_pairs() <= PAIRS_PER_ENTRY * size or not self._star(k, leaders):
+                self._rest()
+                return
+            leaders = min(4 * leaders, MAX_LEADERS)
+        self._open()
+        self._rest()
+
+    def _open(self) -> None:
+        """Keep the entries of lists that hold more than one component; the others never open again."""
+        entries = self.index.select("token", "row", "size", "pos").join(self.labels, "row")
+        tokens = entries.groupBy("token").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("token")
+        self.index = self.stage.write(entries.join(tokens, "token", "left_semi"), "open")
+
+    def _open_pairs(self) -> float:
+        """How many pairs of different components the lists hold."""
+        parts = self.index.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
+        pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+        return parts.groupBy("token").agg(pairs.alias("p")).agg(F.sum("p")).first()[0] or 0.0
 
     def _untested(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.tested, ["a", "b"], "left_anti")
 
-    def star(self, seed: int) -> bool:
-        """One pair a document, with a leader; whether any documents were connected."""
-        entries, lists = self._open_lists(seed)
-        lead = F.col("lead")
+    def _star(self, seed: int, leaders: int) -> bool:
+        """Up to so many pairs a document, with leaders of its lists; whether any documents were connected.
+
+        A list is dealt by hash, and each part has one leader; a document takes those that most of its
+        lists name.
+        """
+        deal = F.xxhash64("row", F.lit(seed))
+        lead = F.min(F.struct(deal.alias("h"), "row", "size", "pos", "root")).alias("lead")
+        lists = self.index.groupBy("token", F.pmod(deal, F.lit(leaders)).alias("part")).agg(lead)
+        lists, lead = self.stage.write(lists.select("token", "lead"), "lists"), F.col("lead")
         fits = _can_link(self.percent, F.col("size"), F.col("pos"), lead["size"], lead["pos"])
-        votes = entries.join(lists, "token").where((F.col("root") != lead["root"]) & fits).groupBy("row", lead["row"].alias("other"))
+        votes = self.index.join(lists, "token").where((F.col("root") != lead["root"]) & fits).groupBy("row", lead["row"].alias("other"))
         votes = votes.agg(F.count("*").alias("votes"))
         votes = self._untested(votes.withColumns({"a": F.least("row", "other"), "b": F.greatest("row", "other")}))
-        best = votes.groupBy("row").agg(F.max(F.struct("votes", "a", "b")).alias("v"))
-        return self._connect(best.select("v.a", "v.b").distinct())
+        place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("votes"), "other"))
+        return self._connect(votes.withColumn("place", place).where(F.col("place") <= leaders).select("a", "b").distinct())
 
-    def rest(self) -> None:
+    def _rest(self) -> None:
         """All pairs of different components that share a list and are not tested yet."""
-        entries, lists = self._open_lists(0)
-        entries = self.stage.write(entries.join(lists, "token", "left_semi"), "open")
-        x, y = (entries.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "pos", "root"))) for s in "ab")
+        x, y = (self.index.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "pos", "root"))) for s in "ab")
         fits = _can_link(self.percent, F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b"))
         pairs = x.join(y, "token").where((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & fits)
         self._connect(self._untested(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()))
@@ -295,7 +320,7 @@ class _Join:
             return False
         of_a, of_b = (self.labels.select(F.col("row").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
         roots = links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        merged = self.stage.write(components(roots, self.stage), "merged").withColumnRenamed("root", "to")
+        merged = components(roots, self.stage).withColumnRenamed("root", "to")
         labels = self.labels.join(merged, F.col("root") == F.col("id"), "left").select("row", F.coalesce("to", "root").alias("root"))
         self.labels = self.stage.write(labels, "labels")
         return True
@@ -316,22 +341,18 @@ def near_copies(
     reps = can.join(classes.select("first.row"), "row", "left_semi")
     index, segments = _cut(_blocks(reps, stage), percent, stage)
     join = _Join(index, segments, percent, stage)
-    for seed in range(1, MAX_ROUNDS + 1):
-        if not join.star(seed):
-            break
-    join.rest()
+    join.run()
     roots = join.labels.select("row", "root")
     of_class = classes.join(roots, classes["first.row"] == roots["row"], "left").select("digest", "first", F.coalesce("root", "first.row").alias("root"))
     of_class = stage.write(of_class, "roots")
     least = stage.write(of_class.groupBy("root").agg(F.min("first").alias("least")), "least")
     of_class = stage.write(of_class.join(least, "root").select("digest", "least"), "of-class")
-    return sets.select("row", "doc_id", "mark", "size", "digest").join(of_class, "digest", "left").select(
-        "doc_id",
-        F.col("size").alias("n_shingles"),
-        F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
-        "mark",
-        (F.col("least").isNull() | (F.col("least.row") == F.col("row"))).alias("stays"),
-    )
+    columns = ("doc_id", F.col("size").alias("n_shingles"))
+    # Documents that cannot link have no digest, and take no part in the join.
+    alone = sets.where("digest is null").select(*columns, F.col("doc_id").alias("component_id"), "mark", F.lit(True).alias("stays"))
+    linked = sets.where("digest is not null").select("row", "doc_id", "mark", "size", "digest").join(of_class, "digest")
+    stays = (F.col("least.row") == F.col("row")).alias("stays")
+    return alone.unionByName(linked.select(*columns, F.col("least.doc_id").alias("component_id"), "mark", stays))
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
