@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnmem.llm import words
+from cairnmem.llm.staging import prepare
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -138,6 +139,7 @@ class Index:
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, threshold: float) -> Iterator[object]:
     """Broadcast indexes of the benchmark, a block of items at a time."""
+    prepare(benchmark.sparkSession)
     items = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     block: list[tuple[int | None, str | None]] = []
     for row in items.toLocalIterator():

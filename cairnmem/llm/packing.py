@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnmem.llm import tokens
+from cairnmem.llm.staging import prepare
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -54,6 +55,7 @@ def pack(
     are the task, its low bits count the task's pieces.  ``bucket`` is log2 of the length.
     ``with_ids=False`` leaves the ids out.
     """
+    prepare(docs.sparkSession)
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
 

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnmem.llm.staging import prepare
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "short_card", "national_id")
 MIN_SCORE = 0.5
@@ -120,6 +122,8 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans: array of (kind, start, end, base, score)."""
 
+    prepare(docs.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)

@@ -268,9 +268,8 @@ def keep_good(
 ) -> DataFrame:
     """docs, with all their columns, without those that score below the threshold."""
     stage = Stage(docs.sparkSession, "quality")
-    named = labels.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
-    some = docs.join(named, docs[id_col].cast("long") == named["id"], "left_semi")
-    x = stage.write(_statistics(some, id_col, text_col), "statistics")
+    # Statistics of all documents, not of labelled ones: a join that picks those would shuffle the texts.
+    x = stage.write(_statistics(docs, id_col, text_col), "statistics")
     held = docs.sparkSession.sparkContext.broadcast(fit(x, labels, stage, label_col=label_col))
     return docs.where(_score(held)(F.col(f"`{text_col}`").cast("string")) >= threshold)
 

@@ -2,8 +2,8 @@
 
 Documents are linked where their group key is equal (by default: equal texts).  Linked documents
 start in shards by hash.  In every round each group looks at where its members are, and members move
-to the shard that holds most of them, in order of gain and only as far as that shard's quota of bytes
-has room; a group that is larger than a shard fills one and goes on with the next.  Rounds end when
+to the shard that holds most of them, light groups first and only as far as that shard's quota of
+bytes has room; a group that is larger than a shard fills one and goes on with the next.  Rounds end when
 nothing moves.  Documents without links then fill what the quotas leave, in one pass.
 
 The rounds run on one row per group and shard, so a group of any size weighs a few rows.  Its members
@@ -59,10 +59,10 @@ def _round(state: DataFrame, capacity: float, shards: int, blocks: int) -> DataF
     movers = state.join(targets, "group").where(
         "shard != to.shard and (n < to.n or n = to.n and xxhash64(group, shard) < to.tie)"
     )
-    # In order of gain; of like gain, by hash.  Blocks of that order are summed first.
-    movers = movers.withColumn("gain", (F.lit(63) - F.floor(F.log2(F.col("to.n") * F.col("size") + 1))).cast("int")).withColumn(
-        "block", F.col("gain") * blocks + F.pmod(F.xxhash64("group"), F.lit(blocks)).cast("int")
-    )
+    # In order of what the group weighs at its target; of like weight, by hash.  Blocks of that order
+    # are summed first.
+    weight = F.floor(F.log2(F.col("to.n") * F.col("size") + 1)).cast("int")
+    movers = movers.withColumn("block", weight * blocks + F.pmod(F.xxhash64("group"), F.lit(blocks)).cast("int"))
     movers = movers.withColumn("target", F.col("to.shard"))
     sums = movers.groupBy("target", "block").agg(F.sum(F.col("n") * F.col("size")).alias("bytes"))
     earlier = Window.partitionBy("target").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairnmem.runtime import let_workers_import
+
 #: Drops a query's shuffle files as soon as its write has been committed.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -38,10 +40,28 @@ def _shuffles_dropped(spark: SparkSession):
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+# Make a worker give freed memory back instead of keeping it for later.
+_WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "33554432", "MALLOC_TRIM_THRESHOLD_": "67108864"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound what a Python worker holds: small Arrow batches, whatever the length of the texts, and
+    freed memory given back.  Sets these for the session; a smaller batch that is set already stays."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    spark.sparkContext.environment.update(_WORKER)
+    let_workers_import(spark)
+
+
 class Stage:
     """The staged tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/cairnmem-{name}-{uuid.uuid4().hex}"
         self._n = 0

@@ -154,7 +154,7 @@ def _double(level: DataFrame, length: int, stage: Stage) -> tuple[DataFrame, Dat
         h = np.frombuffer(row["hashes"], "<u8")
         hit = _repeated(h, replies)
         places, h = places[hit], h[hit]
-        owner = np.unique(np.searchsorted(np.cumsum(counts), places, side="right"))
+        owner = words.distinct(np.searchsorted(np.cumsum(counts), places, side="right"))
         out = [_rows(row=(row["chunk"] << 24) + owner, length=np.full(len(owner), length, np.int64))]
         if more := _next_level(row["chunk"], counts, places, h, length):
             out.append(_rows(**more))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnmem.llm import tokens
-from cairnmem.llm.staging import Stage
+from cairnmem.llm.staging import Stage, prepare
 
 BLOCK_TOKENS = 1 << 18
 #: Blocks in a run of the first level of the prefix scan.
@@ -42,6 +42,7 @@ def token_files(
     A task writes one file.  ``data`` holds ids only.  ``doc_ids`` and ``first`` are the manifest: the
     documents begun in this block, and how many of the file came before; no position is kept.
     """
+    prepare(docs.sparkSession)
     if end_id >= 1 << 8 * np.dtype(dtype).itemsize:
         raise ValueError("end_id does not fit the ids' type")
 

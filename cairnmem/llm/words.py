@@ -69,6 +69,12 @@ def hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter(map(h, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; by sorting, which for many different values beats hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of ordered pairs of hashes."""
     x = a * _K1 + (b ^ (b >> np.uint64(31)))
