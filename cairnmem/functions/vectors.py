@@ -1,5 +1,6 @@
 """Vectors as array columns, and pairs of similar vectors by blocks."""
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,6 +29,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).when(length == 0, 0.0)
 
 
+def cosine_with(a: Column, v: Sequence[float]) -> Column:
+    """Cosine similarity with a constant vector, whose length is divided out once, not in every row."""
+    length = math.sqrt(sum(float(x) ** 2 for x in v))
+    if not length:
+        return F.when(a.isNotNull(), 0.0)
+    own = norm(a)
+    return F.when(own > 0, dot(a, literal([x / length for x in v])) / own).when(own == 0, 0.0)
+
+
 def normalised(a: Column) -> Column:
     """The vector at length 1; unchanged if it has none."""
     n = norm(a)

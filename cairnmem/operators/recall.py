@@ -88,7 +88,7 @@ class Recall:
         if self.proximity is not None:
             df = df.join(self.proximity.select("rid", F.col("graph_proximity").alias("_near")), "rid", "left")
             near = F.coalesce(F.col("_near"), F.lit(0.0))
-        similarity = vectors.cosine(F.col("embedding"), vectors.literal(self.query))
+        similarity = vectors.cosine_with(F.col("embedding"), self.query)
         df = df.withColumn("_sim", similarity)
         parts = scoring.signals(
             F.col("_sim"), F.col("importance"), F.col("valence"), F.col("half_life"), F.col("created_at"), self.now,
@@ -119,7 +119,7 @@ def why() -> Column:
 
 def similar(memories: DataFrame, query: Sequence[float], k: int = 10) -> DataFrame:
     """The k most similar memories alone: rid, similarity."""
-    s = vectors.cosine(F.col("embedding"), vectors.literal(query))
+    s = vectors.cosine_with(F.col("embedding"), query)
     return memories.where("embedding is not null").select("rid", s.alias("similarity")).orderBy(F.desc("similarity"), "rid").limit(k)
 
 
