@@ -25,8 +25,8 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 where either has no length."""
-    length = norm(a) * norm(b)
-    return F.when(length > 0, dot(a, b) / length).when(length == 0, 0.0)
+    # One division, and no test of the length before it, which would compute the length again.
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.when(a.isNotNull() & b.isNotNull(), 0.0))
 
 
 def cosine_with(a: Column, v: Sequence[float]) -> Column:
@@ -34,8 +34,7 @@ def cosine_with(a: Column, v: Sequence[float]) -> Column:
     length = math.sqrt(sum(float(x) ** 2 for x in v))
     if not length:
         return F.when(a.isNotNull(), 0.0)
-    own = norm(a)
-    return F.when(own > 0, dot(a, literal([x / length for x in v])) / own).when(own == 0, 0.0)
+    return F.coalesce(F.try_divide(dot(a, literal([x / length for x in v])), norm(a)), F.when(a.isNotNull(), 0.0))
 
 
 def normalised(a: Column) -> Column:
