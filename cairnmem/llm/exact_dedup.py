@@ -81,7 +81,8 @@ def _again_bits(hashes: DataFrame, size: int, cells: int) -> bytes:
 
     found = hashes.mapInArrow(hit, "cell long, slots binary, again binary").groupBy("cell").applyInArrow(merge, "cell long, bits binary")
     bits = bytearray(width // 8 * cells)
-    for row in found.toLocalIterator():
+    # One segment's bits, so at most segment_bytes.
+    for row in found.collect():
         bits[row["cell"] * width // 8 : (row["cell"] + 1) * width // 8] = row["bits"]
     return bytes(bits)
 

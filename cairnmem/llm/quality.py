@@ -187,7 +187,8 @@ def _summed(df: DataFrame, part) -> np.ndarray | None:
 
     sums = df.select("x", "y").mapInArrow(work, "k long, v binary").repartition(SUM_GROUPS, "k").mapInArrow(add, "k long, v binary")
     total = None
-    for row in sums.toLocalIterator():
+    # SUM_GROUPS rows, of the size of the sum.
+    for row in sums.collect():
         own = np.frombuffer(row["v"], np.float64)
         total = own if total is None else total + own
     return total
