@@ -82,12 +82,19 @@ def chain(start: DataFrame, *steps: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, entity, depth) along edges, the shortest way to each, up to a depth; cycles end there."""
+    """(seed, entity, depth) along edges, the shortest way to each, up to a depth; cycles end there.
+
+    Each depth is checkpointed, so the plan does not grow with the depth.
+    """
+    from cairnmem.operators.cognition import _cut
+
     seen = seeds.select(F.col("entity").alias("seed"), "entity", F.lit(0).alias("depth"))
     step = seen
     for d in range(1, depth + 1):
         step = step.join(edges.select(F.col("src").alias("entity"), "dst"), "entity").select("seed", F.col("dst").alias("entity"), F.lit(d).alias("depth")).distinct()
-        step = step.join(seen, ["seed", "entity"], "left_anti")
+        step = _cut(step.join(seen, ["seed", "entity"], "left_anti"))
+        if not step.limit(1).count():
+            break
         seen = seen.unionByName(step)
     return seen
 
