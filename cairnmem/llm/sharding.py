@@ -3,13 +3,19 @@
 Documents are linked where their group key is equal (by default: equal texts).  Linked documents
 start in shards by hash.  In every round each group looks at where its members are, and members move
 to the shard that holds most of them, light groups first and only as far as that shard's quota of
-bytes has room; a group that is larger than a shard fills one and goes on with the next.  Rounds end when
-nothing moves.  Documents without links then fill what the quotas leave, in one pass.
-
-The rounds run on one row per group and shard, so a group of any size weighs a few rows.  Its members
-are dealt to the group's shards by their rank in the group.  Ranks and running sums are computed in
-three levels (rows of a block, blocks of a partition, partitions), so no window holds a whole shard
-or group; joins on the group key are of two plain exchanges, which adaptive execution may split.
+bytes has room.  Rounds end when nothing moves, or after ``MAX_ROUNDS``: where nearly all bytes are
+linked there is little room, and each round moves little.  One pass then places all groups that are
+still split.  The heavy ones go to the shards with most room; the others lie on a line of bytes, which
+the shards' free quotas cut, and those that a cut goes through are placed like heavy ones.  A group
+stays whole if a shard has room for it but for the size of the largest document; else it fills the
+shard with most room and goes on with the next.  Documents without links fill what the quotas leave,
+in one pass.
+
+The rounds run on one row per group and shard, so a group of any size weighs a few rows.  Members of
+a group that no shard holds whole are dealt to its shards by a running sum of bytes.  Running sums are
+computed in three levels (rows of a block, blocks of a partition, partitions), so no window holds a whole
+shard or group; joins on the group key are of two plain exchanges, which adaptive execution may split,
+or with a broadcast of the groups that are placed one by one, at most ``HEAVY`` + 1 a shard.
 
 Nulls and ties: a null text has size 1 and is linked with empty texts.  doc_id is only carried along:
 it may be null or repeated.  Ties are broken by a hash of group and shard.  An empty table gives an
@@ -22,6 +28,8 @@ from pyspark.sql import functions as F
 from cairnmem.llm.staging import Stage, partitions
 
 MAX_ROUNDS = 24
+#: A split group of more than this part of a shard is placed by itself.
+HEAVY = 64
 #: Rows of a block of the running sums.
 _BLOCK_BITS = 13
 
@@ -87,6 +95,48 @@ def _round(state: DataFrame, capacity: float, shards: int, blocks: int) -> DataF
     )
 
 
+def _settle(state: DataFrame, stage: Stage, capacity: float, shards: int, largest: int) -> tuple[DataFrame, list[tuple]]:
+    """(group, shard) of the groups that lie whole in a shard, with split ones brought together; and
+    (group, start, stop, shard) of those that were placed one by one, by bytes of the group."""
+    weight = F.sum(F.col("n") * F.col("size")).alias("weight")
+    groups = stage.write(state.groupBy("group").agg(weight, F.min("shard").alias("shard"), F.max("shard").alias("last")), "spread")
+    whole, split = groups.where("shard = last").select("group", "shard", "weight"), groups.where("shard < last").drop("shard", "last")
+    room = [capacity] * shards
+
+    def fill(some: DataFrame) -> None:
+        for r in some.groupBy("shard").agg(F.sum("weight").alias("load")).collect():
+            room[r["shard"]] -= r["load"]
+
+    pieces: list[tuple] = []
+
+    def place(some: DataFrame) -> None:
+        for r in some.orderBy(F.desc("weight"), "group").collect():
+            at = 0.0
+            while at < r["weight"]:
+                s = max(range(shards), key=room.__getitem__)
+                left = r["weight"] - at
+                took = left if left <= room[s] + largest or room[s] <= 0 else room[s]
+                last = took == left
+                pieces.append((r["group"], at, float("inf") if last else at + took, s))
+                room[s] -= took
+                at = r["weight"] if last else at + took
+
+    fill(whole)
+    heavy = F.col("weight") * HEAVY > capacity
+    place(split.where(heavy))
+    light = stage.write(split.where(~heavy).withColumn("row", F.monotonically_increasing_id()), "light")
+    free = [max(0.0, r) for r in room]
+    cuts = [sum(free[: s + 1]) for s in range(shards - 1)]
+    begins = sum(((F.col("at") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    ends = sum(((F.col("at") + F.col("weight") > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    line = running_sum(light, F.col("weight"), (), "at").select("group", "weight", begins.alias("shard"), ends.alias("last"))
+    line = stage.write(line, "line-of-groups")
+    within = line.where("shard = last").select("group", "shard", "weight")
+    fill(within)
+    place(line.where("shard < last"))
+    return whole.unionByName(within).select("group", "shard"), pieces
+
+
 def shard(
     docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", group: Column | None = None
 ) -> DataFrame:
@@ -107,7 +157,7 @@ def shard(
     marked = stage.write(thin.join(many, "group", "left"), "marked")
     linked, alone = marked.where("members is not null"), marked.where("members is null")
 
-    total = thin.agg(F.sum("size")).first()[0] or 0
+    total, largest = (x or 0 for x in thin.agg(F.sum("size"), F.max("size")).first())
     capacity = total / shards
     first = F.pmod(F.xxhash64("group", "row"), F.lit(shards)).cast("int").alias("shard")
     # Members of a group of other than equal texts may differ in size; a row stands for each size.
@@ -122,20 +172,24 @@ def shard(
         if not state.agg(F.sum("moved")).first()[0]:
             break
 
-    # The members of a group go to its shards by rank.
-    upto = Window.partitionBy("group", "size").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    ends = state.withColumn("end", F.sum("n").over(upto)).groupBy("group", "size")
-    ends = stage.write(ends.agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("ends")), "ends")
-    ranked = stage.write(running_sum(linked, F.lit(1), ("group", "size"), "rank"), "ranked")
-    placed = ranked.join(ends, ["group", "size"]).withColumn(
-        "shard", F.filter("ends", lambda e: F.col("rank") < e["end"])[0]["shard"]
-    )
+    columns = ("row", "doc_id", "size", "text_crc32", "shard")
+    homes, pieces = _settle(state, stage, capacity, shards, largest)
+    placed = linked.join(homes, "group").select(*columns)
+    if pieces:
+        # The members of a group that was placed by itself lie on a line of its bytes.
+        values = ", ".join(f"('{g}', {a!r}D, double('{b}'), {s})" for g, a, b, s in pieces)
+        held = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(group, start, stop, shard)")
+        own = linked.join(F.broadcast(held.select("group").distinct()), "group", "left_semi")
+        lying = stage.write(running_sum(own, F.col("size"), ("group",), "at"), "pieces")
+        middle = F.col("at") + F.col("size") / 2
+        lying = lying.join(F.broadcast(held), "group").where((middle >= F.col("start")) & (middle < F.col("stop")))
+        placed = placed.unionByName(lying.select(*columns))
+    placed = stage.write(placed, "linked")
 
     # The others lie on a line of bytes, which the shards' free quotas cut; the largest first, so that
     # the smaller ones even out what a cut through a large one leaves.
-    loads = {r["shard"]: r["load"] for r in state.groupBy("shard").agg(F.sum(F.col("n") * F.col("size")).alias("load")).collect()}
-    columns = ("row", "doc_id", "size", "text_crc32", "shard")
-    parts = [placed.select(*columns)]
+    loads = {r["shard"]: r["load"] for r in placed.groupBy("shard").agg(F.sum("size").alias("load")).collect()}
+    parts = [placed]
     mean = alone.agg(F.avg("size")).first()[0] or 0
     bounds = [float("inf"), 4 * mean, mean / 4, 0]
     for below, least in zip(bounds, bounds[1:], strict=False):

@@ -46,6 +46,26 @@ def test_a_group_larger_than_a_shard(spark):
     assert sum(len(c) > 1 for c in where.values() if sum(c.values()) == 2) <= 3
 
 
+def test_pairs_without_other_rows_stay_whole(spark):
+    texts = [(i, f"pair {i // 2:05d} " * 5) for i in range(4000)]
+    rows = sharding.shard(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)).collect()
+    loads = check(rows, texts)
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 2 * rows[0]["size"]
+    where = defaultdict(set)
+    for r in rows:
+        where[r["text_crc32"]].add(r["shard"])
+    assert len(where) == 2000 and all(len(s) == 1 for s in where.values())
+
+
+def test_one_group_of_all_rows_fills_the_shards(spark):
+    from pyspark.sql import functions as F
+
+    texts = [(i, "x" * (i % 50)) for i in range(2000)]
+    rows = sharding.shard(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4), group=F.lit("all")).collect()
+    loads = check(rows, texts)
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 100
+
+
 def test_odd_rows(odd):
     check(sharding.shard(odd).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()])
 
