@@ -5,8 +5,9 @@ of that size.  Its 128-bit SimHash is looked up in a multi-index: fingerprints a
 of 8 bits; two that differ in at most ``RADIUS`` bits differ in at most RADIUS // 16 bits of some
 block, so looking up all values of each block within that distance finds every fingerprint within the
 radius.  Candidates are verified by the exact weighted Jaccard similarity of their 5-word shingles
-(weights: how often a shingle occurs).  RADIUS is six standard deviations above the distance
-expected at the threshold, so a true match is out of reach with probability 1e-9.
+(weights: how often a shingle occurs; in the SimHash the n-th occurrence of a shingle is a feature of its
+own).  RADIUS is six standard deviations above the distance expected at the threshold, so a true match
+is out of reach with probability 1e-9.
 
 Windows are pruned before hashing without loss: a window that passes has at least ``threshold`` times
 its item's shingles in common with the item, so one with fewer shingles of any item cannot pass.
@@ -43,8 +44,23 @@ _BLOCKS = BITS // 8
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+def _features(shingles: np.ndarray) -> np.ndarray:
+    """Each row of shingle hashes in some order, the second and further occurrences of a hash hashed anew."""
+    out = np.sort(shingles, axis=1)
+    again = np.flatnonzero((out[:, 1:] == out[:, :-1]).any(axis=1))
+    if len(again):
+        own = out[again]
+        at = np.arange(own.shape[1])
+        begins = np.pad(own[:, 1:] != own[:, :-1], ((0, 0), (1, 0)), constant_values=True)
+        nth = (at - np.maximum.accumulate(np.where(begins, at, 0), axis=1)).astype(np.uint64)
+        out[again] = np.where(nth > 0, words.mix(own.ravel(), nth.ravel()).reshape(own.shape), own)
+    return out
+
+
 def simhash(shingles: np.ndarray) -> np.ndarray:
-    """128-bit SimHash, as 16 bytes, of each row of shingle hashes; repeated shingles weigh more."""
+    """128-bit SimHash, as 16 bytes, of each row of shingle hashes; each occurrence of a repeated shingle
+    is a feature of its own, so that distances depend on the weighted similarity alone."""
+    shingles = _features(shingles)
     bits = np.zeros((shingles.shape[0], BITS), np.int32)
     for half, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
         h = words.mix(shingles.ravel(), np.full(shingles.size, salt, np.uint64))

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from cairnmem.llm import decontaminate
 from cairnmem.llm.queries import QUERIES
@@ -70,6 +71,14 @@ def test_every_fingerprint_within_the_radius_is_found():
     assert set(index._candidates(20, asked)) == {(a, b) for a, b in zip(*np.nonzero(distance <= index.radius), strict=True)}
 
 
+def test_a_run_of_one_filler_word_stays_within_reach():
+    items = [(i, " ".join(f"f{i}w{k}" for k in range(204))) for i in range(20)]
+    rows = [(i, " ".join(t.split()[:182] + ["uh"] * 22)) for i, t in items]
+    index = decontaminate.Index(items)
+    found = {(r, i) for r, i, *_ in index.matches(pa.array([t for _, t in rows]))}
+    assert found == set(brute(rows, items)) == {(i, i) for i in range(20)}
+
+
 def test_empty(spark, sf_dir, empty, odd):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert decontaminate.find(empty, bench).count() == 0 and decontaminate.find(odd, bench.where("false")).count() == 0
