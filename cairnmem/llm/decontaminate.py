@@ -16,7 +16,7 @@ The benchmark is a stated query set: it is read in blocks of ``BLOCK_ITEMS`` ite
 broadcast in turn, so what is broadcast is bounded.  Documents are mapped only; nothing of them is
 shuffled or sent to the driver.
 
-Words are compared in lower case.  Nulls and ties: null, empty and wordless items and texts match
+Words are compared in lower case, items and texts by the same function.  Nulls and ties: null, empty and wordless items and texts match
 nothing; an item shorter than a shingle is one shingle of all its words; a text shorter than an item
 is one window.  Of several windows of one document that match an item the most similar counts, then
 the first.  Repeated rows and items each give their own results; null ids stay null; empty tables
@@ -87,7 +87,7 @@ class Index:
         self.threshold, self.radius = threshold, radius
         by_size: dict[int, list[tuple[int | None, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
-            low, n = words.split(pa.array([(text or "").lower()], pa.string()))
+            low, n = words.split(pc.utf8_lower(pa.array([text or ""], pa.string())))
             if n[0]:
                 by_size[int(n[0])].append((item_id, _shingles(words.hashes(low))))
         self.sizes = {}

@@ -79,6 +79,13 @@ def test_a_run_of_one_filler_word_stays_within_reach():
     assert found == set(brute(rows, items)) == {(i, i) for i in range(20)}
 
 
+def test_a_verbatim_copy_in_letters_with_odd_lower_case():
+    items = [(1, " ".join(f"İSTANBUL{k}İ ΟΔΟΣ" for k in range(12))), (2, "ΛΟΓΟΣ ΝΟΜΟΣ ΤΟΠΟΣ ΧΡΟΝΟΣ ΒΙΟΣ ΠΟΝΟΣ ΔΗΜΟΣ ΚΟΣΜΟΣ")]
+    index = decontaminate.Index(items)
+    found = index.matches(pa.array([f"before {t} after" for _, t in items]))
+    assert {(r, i, first, s) for r, i, first, _, s in found} == {(0, 1, 1, 1.0), (1, 2, 1, 1.0)}
+
+
 def test_empty(spark, sf_dir, empty, odd):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert decontaminate.find(empty, bench).count() == 0 and decontaminate.find(odd, bench.where("false")).count() == 0
