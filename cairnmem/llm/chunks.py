@@ -7,8 +7,8 @@ into buckets by hash range, and each bucket answers every chunk in the order of
 that a third of all documents hold weighs one entry a chunk, a row is a block of some thousand keys
 and not one key, and no task holds more than one bucket or one chunk.
 
-Keys are 64-bit hashes.  A bucket sees the low 48 bits, which with the bucket's own range leave more
-than 56 significant bits from 256 buckets on.
+Keys are 64-bit hashes.  A bucket sees their low 48 bits, which with the bucket's own range leave 48 +
+log2(buckets) significant bits; or, where equal keys alone decide, as many bytes (``whole``) as leave all 64.
 """
 
 from collections.abc import Callable, Iterator
@@ -122,21 +122,26 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_REST].T).tobytes()
+def whole(n: int) -> int:
+    """Low bytes of a key that with its bucket, of n, make out the whole key."""
+    return 7 if n >= 256 else 8
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(_REST, -1)
+def pack_keys(keys: np.ndarray, rest: int = _REST) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :rest].T).tobytes()
+
+
+def unpack_keys(data: bytes, rest: int = _REST) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(rest, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :_REST] = planes.T
+    out[:, :rest] = planes.T
     return out.view("<u8").ravel()
 
 
-def cells(chunk: int, keys: np.ndarray, notes: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+def cells(chunk: int, keys: np.ndarray, notes: list[np.ndarray], n: int, rest: int = _REST) -> Iterator[pa.RecordBatch]:
     """What a chunk sends: a row for each bucket, of its sorted distinct keys and notes on them.
 
-    A note of booleans goes as bits, of other numbers as compressed byte planes.
+    Of a key go the ``rest`` low bytes.  A note of booleans goes as bits, of other numbers as compressed byte planes.
     """
     if not len(keys):
         return
@@ -148,7 +153,7 @@ def cells(chunk: int, keys: np.ndarray, notes: list[np.ndarray], n: int) -> Iter
         cols = [
             pa.array(bucket[own]),
             pa.array(np.full(len(own), chunk, np.int64)),
-            pa.array([pack_keys(keys[a:b]) for a, b in zip(own, ends, strict=True)], pa.binary()),
+            pa.array([pack_keys(keys[a:b], rest) for a, b in zip(own, ends, strict=True)], pa.binary()),
         ]
         cols += [pa.array([_note(x[a:b]) for a, b in zip(own, ends, strict=True)], pa.binary()) for x in notes]
         yield pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk", "keys", *(f"note{i}" for i in range(len(notes)))])
@@ -169,17 +174,19 @@ def cell_schema(notes: int) -> str:
 
 
 def answers(
-    sent: DataFrame, notes: list[str], merge: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]], replies: int
+    sent: DataFrame, notes: list[str], merge: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]], replies: int,
+    rest: int = _REST,
 ) -> DataFrame:
     """What the buckets answer: (bucket, chunk, n, sums, reply0, ...), each reply in the order of the keys sent.
 
     ``merge(group, notes)`` gets, for all entries of a bucket, the number of the key's group and the
     notes (of types ``notes``), and returns an array of answers by group, ``replies`` times; an array
-    after those holds integers to be summed over the buckets, and goes with one row of each.
+    after those holds integers to be summed over the buckets, and goes with one row of each.  ``rest`` is
+    that of the cells.
     """
 
     def answer(table: pa.Table) -> pa.Table:
-        parts = [unpack_keys(k) for k in table["keys"].to_pylist()]
+        parts = [unpack_keys(k, rest) for k in table["keys"].to_pylist()]
         sizes = np.array([len(p) for p in parts])
         _, group = np.unique(np.concatenate(parts), return_inverse=True)
         values = [

@@ -9,8 +9,8 @@ Each level asks the buckets of ``chunks`` which keys occur elsewhere.  A chunk s
 window once, noted if the chunk itself holds it twice, so a passage in a third of all documents is
 one entry a chunk.  Levels after the first carry places and hashes of the surviving windows only.
 
-Windows are compared by 64-bit hashes, of which a bucket sees at least 56 bits: among w windows some
-w**2 / 2**57 accidental pairs at the first level, 1e-1 pairs for 1e8 windows.
+Windows are compared by all of their 64-bit hashes, whatever the number of buckets: among w windows
+some w**2 / 2**65 accidental pairs at the first level, 3e-4 pairs for 1e8 windows, 0.7 for 5e9.
 
 Nulls and ties: all copies of a repeated window are removed, the first too.  A null text has no
 words; a text shorter than a window keeps all of its words.  Repeated rows remove each other.  A null
@@ -35,7 +35,7 @@ _DOC = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string,
 
 def _sent(number: int, keys: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     distinct, times = np.unique(keys, return_counts=True)
-    return chunks.cells(number, distinct, [times > 1], n_buckets)
+    return chunks.cells(number, distinct, [times > 1], n_buckets, chunks.whole(n_buckets))
 
 
 def _repeated(keys: np.ndarray, replies: pa.Table) -> np.ndarray:
@@ -120,7 +120,7 @@ def remove_repeats(
         return pa.concat_tables(out)
 
     asked = corpus.select("chunk", "n_words", "docs", "vocab", "ids").mapInArrow(first_keys, chunks.cell_schema(1))
-    replies = stage.write(chunks.answers(asked, ["bool"], chunks.shared, 1), "replies")
+    replies = stage.write(chunks.answers(asked, ["bool"], chunks.shared, 1, chunks.whole(n_buckets)), "replies")
     found = corpus.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(first_level, _OUT)
     found = stage.write(found.withColumn("kind", F.when(F.col("places").isNull(), "document").otherwise("level")), "first", by="kind")
     stage.drop(corpus, replies)
@@ -160,9 +160,8 @@ def _double(level: DataFrame, length: int, stage: Stage) -> tuple[DataFrame, Dat
             out.append(_rows(**more))
         return pa.concat_tables(out)
 
-    replies = stage.write(
-        chunks.answers(level.select("chunk", "hashes").mapInArrow(keys, chunks.cell_schema(1)), ["bool"], chunks.shared, 1), "replies"
-    )
+    asked = level.select("chunk", "hashes").mapInArrow(keys, chunks.cell_schema(1))
+    replies = stage.write(chunks.answers(asked, ["bool"], chunks.shared, 1, chunks.whole(n_buckets)), "replies")
     found = level.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(extend, _OUT)
     found = stage.write(found.withColumn("kind", F.when(F.col("places").isNull(), "document").otherwise("level")), "level", by="kind")
     stage.drop(replies)

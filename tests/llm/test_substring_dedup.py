@@ -1,9 +1,11 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from cairnmem.llm import substring_dedup
+from cairnmem.llm import chunks, substring_dedup
 
 
 def brute(rows, n):
@@ -40,6 +42,15 @@ def test_against_brute_force(documents, texts, n):
         assert r["longest"] == level
 
 
+@pytest.mark.parametrize("n", [1, 16, 255, 256, 300, 5000])
+def test_keys_of_one_bucket_that_differ_in_any_bit_are_not_shared(spark, n):
+    keys = np.array([0x0123456789ABCDEF ^ (1 << bit) for bit in range(64)] + [0x0123456789ABCDEF], np.uint64)
+    sent = [b for i, k in enumerate(keys) for b in substring_dedup._sent(i, keys[i : i + 1], n)]
+    df = spark.createDataFrame(pa.Table.from_batches(sent).to_pandas())
+    found = chunks.answers(df, ["bool"], chunks.shared, 1, chunks.whole(n)).collect()
+    assert len(found) == 65 and not any(chunks._unnote(r["reply0"], 1, "bool")[0] for r in found)
+
+
 def test_odd_rows(odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     found = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(odd, 35).collect())
