@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnmem.llm import tokens
-from cairnmem.llm.staging import Stage, prepare
+from cairnmem.llm.staging import Stage, partitions, prepare
 
 BLOCK_TOKENS = 1 << 18
 #: Blocks in a run of the first level of the prefix scan.
@@ -86,18 +87,42 @@ TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
 
 def read_token_files(spark, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u2") -> DataFrame:
-    """Blocks (file, block, data) of the flat token files under a path, by Spark's own file reader.
+    """Blocks (file, block, data) of the flat token files under a path.
 
-    ``file`` is a hash of the file's name.  A file is read whole by one task, so it may have 2 GB.
+    ``file`` is a hash of the file's name.  Spark lists the files; a task reads the byte range of each of
+    its blocks, so files may have any size.  In a store that pyarrow cannot open, Spark reads each file
+    whole, and a file may have 2 GB.
     """
     step = block_tokens * np.dtype(dtype).itemsize
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(F.xxhash64("path").alias("file"), "content")
-        .select("file", "content", F.explode(F.expr(f"sequence(0L, greatest(octet_length(content) - 1L, 0L) div {step}L)")).alias("block"))
-        .select("file", "block", F.expr(f"substring(content, int(block * {step}) + 1, {step})").alias("data"))
-    )
+    files = spark.read.format("binaryFile").load(path)
+    block = F.explode(F.expr(f"sequence(0L, greatest(length - 1L, 0L) div {step}L)")).alias("block")
+    one = files.select("path").first()
+    if one and one[0].split(":")[0] not in RANGED:
+        out = files.select(F.xxhash64("path").alias("file"), "content", block)
+        return out.select("file", "block", F.expr(f"substring(content, int(block * {step}) + 1, {step})").alias("data"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, file, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(name) as f:
+                    f.seek(block * step)
+                    cols = [[file], [block], [f.read(step)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES, strict=False)], names=NAMES[:3])
+
+    prepare(spark)
+    ranges = files.select("path", F.xxhash64("path").alias("file"), block).repartition(partitions(spark))
+    return ranges.mapInArrow(read, "file long, block long, data binary")
+
+
+#: Schemes of the stores whose files pyarrow opens.
+RANGED = ("file", "hdfs", "s3", "gs")
+
+
+def _opened(name: str) -> pa.NativeFile:
+    if name.startswith("file:"):
+        return pa.OSFile("/" + name.removeprefix("file:").lstrip("/"))
+    store, path = pa.fs.FileSystem.from_uri(name)
+    return store.open_input_file(path)
 
 
 def count_tokens(blocks: DataFrame, end_id: int = 50256, dtype: str = "<u2", stage: Stage | None = None) -> DataFrame:

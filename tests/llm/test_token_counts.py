@@ -39,6 +39,16 @@ def test_flat_files(spark, tmp_path):
     assert found == [(0, 2, True), (3, 0, True), (4, 1, True), (6, 1, False)]
 
 
+def test_a_flat_file_over_2_gb(spark, tmp_path):
+    with open(tmp_path / "a.bin", "wb") as f:
+        f.truncate((1 << 31) + 10)
+        f.seek(1 << 31)
+        f.write(np.array([5, 9, 6], "<u2").tobytes())
+    blocks = token_counts.read_token_files(spark, f"file://{tmp_path}", block_tokens=1 << 22)
+    found = sorted((r["start"], r["n_tokens"], r["ended"]) for r in token_counts.count_tokens(blocks, 9).collect())
+    assert found == [(0, (1 << 30) + 1, True), ((1 << 30) + 2, 3, False)]
+
+
 def test_special_text_cannot_end_a_document(odd):
     rows = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_token_counts(odd).collect()}
     assert len(rows) == len({r["doc_id"] for r in odd.collect()}) and rows[3] == rows[4] == 0
