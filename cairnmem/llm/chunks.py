@@ -7,8 +7,13 @@ into buckets by hash range, and each bucket answers every chunk in the order of
 that a third of all documents hold weighs one entry a chunk, a row is a block of some thousand keys
 and not one key, and no task holds more than one bucket or one chunk.
 
-Keys are 64-bit hashes.  A bucket sees their low 48 bits, which with the bucket's own range leave 48 +
-log2(buckets) significant bits; or, where equal keys alone decide, as many bytes (``whole``) as leave all 64.
+A bucket has a row of every chunk.  Beyond ``FAN_IN`` chunks these rows would be many and small, so
+there the exchange has two levels: groups of at most about that many chunks are merged first, by
+coarse buckets, and each merged part asks the buckets like one chunk and hands the answers on.  The rows of a
+task are then bounded by FAN_IN and by the number of groups, whatever the number of chunks.
+
+Keys are 64-bit hashes; a bucket implies their high bits.  Where equal keys alone decide, all 64 bits
+are exchanged (``exact``), and the first note can be a further hash that must be equal, too (``checked``).
 """
 
 from collections.abc import Callable, Iterator
@@ -27,6 +32,8 @@ CHUNK_SCHEMA = "chunk long, n_words long, docs binary, vocab binary, ids binary"
 #: Keys of one bucket, about: more buckets than the session's partitions ask for, where there are more.
 BUCKET_KEYS = 1 << 21
 _REST = 6
+#: Chunks whose keys one level of the exchange brings together.
+FAN_IN = 4096
 #: Chunks of series 1 are numbered from here.
 SERIES = 1 << 38
 
@@ -77,6 +84,10 @@ class Chunk:
     def hashes(self) -> np.ndarray:
         return words.hashes(self.vocab)[self.ids]
 
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = words.halves(self.vocab)
+        return a[self.ids], b[self.ids]
+
     def owners(self) -> np.ndarray:
         """The place, in the chunk, of each word's document."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
@@ -111,14 +122,31 @@ def tokenised(
     return stage.write(thin.mapInArrow(work, CHUNK_SCHEMA), "chunks")
 
 
-def buckets(chunks: DataFrame, keys_col: str = "n_words") -> int:
-    """How many buckets to cut the keys of some chunks into."""
-    n = chunks.agg(F.sum(keys_col)).first()[0] or 0
-    return min(1 << 24, max(4 * partitions(chunks.sparkSession), n // BUCKET_KEYS + 1))
+@dataclass(frozen=True)
+class Plan:
+    """How the keys of some chunks are exchanged."""
+
+    #: Buckets that merge and answer, those that chunks send to, and groups of chunks (1: one level).
+    buckets: int
+    sent: int
+    groups: int
+    #: Low bytes of a key that are sent.
+    rest: int
+
+
+def plan(chunks: DataFrame, keys_col: str = "n_words", exact: bool = False, fan_in: int | None = None) -> Plan:
+    """How to exchange the keys of some chunks, from how many of both there are."""
+    n, keys = chunks.agg(F.count("*"), F.sum(keys_col)).first()
+    wanted = min(1 << 24, max(4 * partitions(chunks.sparkSession), (keys or 0) // BUCKET_KEYS + 1))
+    groups = -(-n // (fan_in or FAN_IN))
+    if groups <= 1:
+        return Plan(wanted, wanted, 1, whole(wanted) if exact else _REST)
+    sent = -(-wanted // groups)
+    return Plan(sent * -(-wanted // sent), sent, groups, 8)
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """Buckets of some keys; they do not decrease as the keys grow."""
+    """Buckets of some keys; they do not decrease as the keys grow, and each of n lies in one of n / k."""
     return ((keys >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
 
 
@@ -138,8 +166,8 @@ def unpack_keys(data: bytes, rest: int = _REST) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def cells(chunk: int, keys: np.ndarray, notes: list[np.ndarray], n: int, rest: int = _REST) -> Iterator[pa.RecordBatch]:
-    """What a chunk sends: a row for each bucket, of its sorted distinct keys and notes on them.
+def cells(chunk: int, keys: np.ndarray, notes: list[np.ndarray], n: int, rest: int) -> Iterator[pa.RecordBatch]:
+    """What a chunk sends: a row for each of n buckets, of its sorted distinct keys and notes on them.
 
     Of a key go the ``rest`` low bytes.  A note of booleans goes as bits, of other numbers as compressed byte planes.
     """
@@ -156,7 +184,11 @@ def cells(chunk: int, keys: np.ndarray, notes: list[np.ndarray], n: int, rest: i
             pa.array([pack_keys(keys[a:b], rest) for a, b in zip(own, ends, strict=True)], pa.binary()),
         ]
         cols += [pa.array([_note(x[a:b]) for a, b in zip(own, ends, strict=True)], pa.binary()) for x in notes]
-        yield pa.RecordBatch.from_arrays(cols, names=["bucket", "chunk", "keys", *(f"note{i}" for i in range(len(notes)))])
+        yield pa.RecordBatch.from_arrays(cols, names=_cell_names(len(notes)))
+
+
+def _cell_names(notes: int) -> list[str]:
+    return ["bucket", "chunk", "keys", *(f"note{i}" for i in range(notes))]
 
 
 def _note(x: np.ndarray) -> bytes:
@@ -173,44 +205,104 @@ def cell_schema(notes: int) -> str:
     return "bucket long, chunk long, keys binary" + "".join(f", note{i} binary" for i in range(notes))
 
 
-def answers(
-    sent: DataFrame, notes: list[str], merge: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]], replies: int,
-    rest: int = _REST,
-) -> DataFrame:
-    """What the buckets answer: (bucket, chunk, n, sums, reply0, ...), each reply in the order of the keys sent.
+def _read(table: pa.Table, notes: list[str], rest: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of some cells: how many keys each has, all keys, and the notes on them."""
+    parts = [unpack_keys(k, rest) for k in table["keys"].to_pylist()]
+    sizes = np.array([len(p) for p in parts])
+    values = [np.concatenate([_unnote(d, k, t) for d, k in zip(table[f"note{i}"].to_pylist(), sizes, strict=True)]) for i, t in enumerate(notes)]
+    return sizes, np.concatenate(parts), values
 
-    ``merge(group, notes)`` gets, for all entries of a bucket, the number of the key's group and the
-    notes (of types ``notes``), and returns an array of answers by group, ``replies`` times; an array
-    after those holds integers to be summed over the buckets, and goes with one row of each.  ``rest`` is
-    that of the cells.
+
+def _split(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.cumsum(sizes)
+    return pa.array([_note(flat[b - k : b]) for b, k in zip(ends, sizes, strict=True)], pa.binary())
+
+
+@dataclass(frozen=True)
+class Question:
+    """What buckets are asked.
+
+    ``notes`` and ``replies`` are the types of the notes on an entry and of the answers to it.
+    ``combine(group, notes)`` gets, for some entries, the number of the key's group and the notes, and
+    returns the notes by group, as if one chunk had sent them.  ``answer(notes)`` makes of those the
+    answers by group and, last, integers to be summed over all buckets, or None.  A bucket may also
+    ``judge(keys, notes)`` its entries itself, and return the answers by entry and None.
     """
 
-    def answer(table: pa.Table) -> pa.Table:
-        parts = [unpack_keys(k, rest) for k in table["keys"].to_pylist()]
-        sizes = np.array([len(p) for p in parts])
-        _, group = np.unique(np.concatenate(parts), return_inverse=True)
-        values = [
-            np.concatenate([_unnote(d, k, t) for d, k in zip(table[f"note{i}"].to_pylist(), sizes, strict=True)]) for i, t in enumerate(notes)
-        ]
-        ends = np.cumsum(sizes)
-        cols = {"bucket": table["bucket"], "chunk": table["chunk"], "n": pa.array(sizes.astype(np.int64))}
-        merged = merge(group, values)
-        first = merged[replies].tolist() if len(merged) > replies else None
-        cols["sums"] = pa.array([first] + [None] * (len(sizes) - 1), pa.list_(pa.int64()))
-        for i in range(replies):
-            flat = merged[i][group]
-            cols[f"reply{i}"] = pa.array([_note(flat[b - k : b]) for b, k in zip(ends, sizes, strict=True)], pa.binary())
-        return pa.table(cols)
-
-    schema = "bucket long, chunk long, n long, sums array<long>" + "".join(f", reply{i} binary" for i in range(replies))
-    return sent.groupBy("bucket").applyInArrow(answer, schema)
-
-
-def shared(group: np.ndarray, notes: list[np.ndarray]) -> list[np.ndarray]:
-    """For ``answers``: whether a key was sent by two chunks, or noted as repeated by one."""
+    notes: list[str]
+    replies: list[str]
+    combine: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]]
+    answer: Callable[[list[np.ndarray]], tuple[list[np.ndarray], np.ndarray | None]]
+    checked: bool = False
+    judge: Callable[[np.ndarray, list[np.ndarray]], tuple[list[np.ndarray], np.ndarray | None]] | None = None
+
+    def grouped(self, keys: np.ndarray, notes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The group of each entry, a first entry and the notes of each group."""
+        group, first = words.ranked(keys, notes[0] if self.checked else None)
+        if self.checked:
+            return group, first, [notes[0][first], *self.combine(group, notes[1:])]
+        return group, first, self.combine(group, notes)
+
+    def answers(self, keys: np.ndarray, notes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray | None]:
+        if self.judge is not None:
+            return self.judge(keys, notes)
+        group, _, merged = self.grouped(keys, notes)
+        found, sums = self.answer(merged[1:] if self.checked else merged)
+        return [x[group] for x in found], sums
+
+    @property
+    def schema(self) -> str:
+        return "bucket long, chunk long, n long, sums array<long>" + "".join(f", reply{i} binary" for i in range(len(self.replies)))
+
+    def table(self, cells: pa.Table, sizes: np.ndarray, found: list[np.ndarray], sums: np.ndarray | None) -> pa.Table:
+        cols = {"bucket": cells["bucket"], "chunk": cells["chunk"], "n": pa.array(sizes.astype(np.int64))}
+        cols["sums"] = pa.array([None if sums is None else sums.tolist()] + [None] * (len(sizes) - 1), pa.list_(pa.int64()))
+        return pa.table(cols | {f"reply{i}": _split(x, sizes) for i, x in enumerate(found)})
+
+
+def ask(sent: DataFrame, how: Plan, what: Question, stage: Stage) -> DataFrame:
+    """What the buckets answer to cells: (bucket, chunk, n, sums, reply0, ...), each reply in the order
+    of the keys sent; staged.  Sums go with one row of each bucket."""
+
+    def answer(table: pa.Table, rest: int) -> pa.Table:
+        sizes, keys, notes = _read(table, what.notes, rest)
+        return what.table(table, sizes, *what.answers(keys, notes))
+
+    if how.groups == 1:
+        found = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, how.rest), what.schema)
+        return stage.write(found, "replies")
+
+    def merge(table: pa.Table) -> pa.Table:
+        _, keys, notes = _read(table, what.notes, how.rest)
+        _, first, merged = what.grouped(keys, notes)
+        return pa.Table.from_batches(cells(table["part"][0].as_py(), keys[first], merged, how.buckets, fine))
+
+    def hand_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        sizes, keys, notes = _read(left, what.notes, how.rest)
+        group, _ = words.ranked(keys, notes[0] if what.checked else None)
+        sums = [s for s in right["sums"].to_pylist() if s is not None]
+        return what.table(left, sizes, [reply(right, t, i)[group] for i, t in enumerate(what.replies)], np.sum(sums, axis=0) if sums else None)
+
+    fine = whole(how.buckets)
+    part = F.pmod(F.xxhash64("chunk"), F.lit(how.groups)) * how.sent + F.col("bucket")
+    sent = stage.write(sent.withColumn("part", part), "sent")
+    merged = sent.groupBy("part").applyInArrow(merge, cell_schema(len(what.notes)))
+    merged = stage.write(merged.groupBy("bucket").applyInArrow(lambda t: answer(t, fine), what.schema), "merged")
+    back = merged.withColumnRenamed("chunk", "part")
+    found = stage.write(sent.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(hand_on, what.schema), "replies")
+    stage.drop(sent, merged)
+    return found
+
+
+def _shared(group: np.ndarray, notes: list[np.ndarray]) -> list[np.ndarray]:
     return [(np.bincount(group) > 1) | (np.bincount(group, notes[0]) > 0)]
 
 
+def shared(checked: bool = False) -> Question:
+    """Whether a key was sent by two chunks, or noted as repeated by one."""
+    return Question(["<u4", "bool"] if checked else ["bool"], ["bool"], _shared, lambda notes: (notes, None), checked)
+
+
 def reply(table: pa.Table, dtype: str, i: int = 0) -> np.ndarray:
     """The answers to one chunk, in the order of its sorted distinct keys."""
     if not table.num_rows:

@@ -66,14 +66,14 @@ def shingles(c: chunks.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sets(corpus: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame:
     """Of each document: row, doc_id, mark, size, digest and the shared n-grams, null where it cannot link."""
-    n_buckets = chunks.buckets(corpus)
+    how = chunks.plan(corpus)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 c = chunks.Chunk.of(pa.table(batch.slice(i, 1)))
                 keys, times = np.unique(shingles(c, n)[1], return_counts=True)
-                yield from chunks.cells(c.number, keys, [times > 1], n_buckets)
+                yield from chunks.cells(c.number, keys, [times > 1], how.sent, how.rest)
 
     def gather(left: pa.Table, replies: pa.Table) -> pa.Table:
         c = chunks.Chunk.of(left)
@@ -96,7 +96,7 @@ def _sets(corpus: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame:
             }
         )
 
-    replies = stage.write(chunks.answers(corpus.mapInArrow(ask, chunks.cell_schema(1)), ["bool"], chunks.shared, 1), "replies")
+    replies = chunks.ask(corpus.mapInArrow(ask, chunks.cell_schema(1)), how, chunks.shared(), stage)
     sets = corpus.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
         gather, "row long, doc_id long, mark long, size long, digest binary, keys binary"
     )
@@ -166,20 +166,19 @@ _CUT = {"token": pa.int64(), "row": pa.int64(), "size": pa.int64(), "pos": pa.in
 
 def _cut(blocks: DataFrame, percent: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """The prefix index (token, row, size, pos) and the segments (row, size, fragment, keys)."""
-    n_buckets = chunks.buckets(blocks, "n_keys")
+    how = chunks.plan(blocks, "n_keys")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 distinct, times = np.unique(np.frombuffer(keys, "<u8"), return_counts=True)
-                yield from chunks.cells(number, distinct, [times.astype("<u4")], n_buckets)
+                yield from chunks.cells(number, distinct, [times.astype("<u8")], how.sent, how.rest)
 
-    def frequency(group: np.ndarray, notes: list[np.ndarray]) -> list[np.ndarray]:
-        times = np.bincount(group, notes[0])
-        return [_bin(times), np.bincount(_bin(times), times, 256).astype(np.int64)]
+    def bins(notes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        return [_bin(notes[0])], np.bincount(_bin(notes[0]), notes[0], 256).astype(np.int64)
 
-    replies = chunks.answers(blocks.select("chunk", "keys").mapInArrow(ask, chunks.cell_schema(1)), ["<u4"], frequency, 1)
-    replies = stage.write(replies, "frequencies")
+    frequency = chunks.Question(["<u8"], ["<u1"], lambda group, notes: [np.bincount(group, notes[0]).astype("<u8")], bins)
+    replies = chunks.ask(blocks.select("chunk", "keys").mapInArrow(ask, chunks.cell_schema(1)), how, frequency, stage)
     mass = replies.where("sums is not null").select(F.posexplode("sums").alias("bin", "mass")).groupBy("bin").agg(F.sum("mass").alias("mass"))
     of_bin = np.zeros(256, np.int64)
     for r in mass.collect():

@@ -7,15 +7,18 @@ with counts from which that part has been deleted; scores then use the counts of
 documents.  The mixture is a proper distribution for every context.
 
 Counts cover all training documents: every chunk sends its n-grams with their counts to the buckets
-of ``chunks`` and gets the corpus counts back, so no count table is ever in one place.  The weights
-are learned from a histogram of the deleted part's tokens by context bucket and by the two estimates'
-logarithms in steps of an eighth; its size depends on the steps, not on the corpus.
+of ``chunks`` and gets the corpus counts back, so no count table is ever in one place.  N-grams are
+equal where 64 bits and a further 32 bits of their words' hashes are.  The weights are learned from a
+histogram of the deleted part's tokens by context bucket and by the two estimates' logarithms, in steps
+of half a power of two; a cell keeps the means of the logarithms of its tokens, which stand for them.
+At most ``CONTEXT_BUCKETS * SPAN**2`` cells (33 MB) reach the driver, whatever the corpus.
 
 Tokens are words, A-Z in lower case, and one end per document.
 
 Nulls and ties: a null or empty text is the end token alone.  A null doc_id counts as not held out.
 Repeated rows count and are scored each.  Without training documents every probability is 1.  An
-empty table gives no rows.  Other columns are ignored.
+empty table gives no rows.  Other columns are ignored.  Very long texts: a text is never cut; one that is
+longer than a chunk is a chunk of its own, and its words must fit in a task.
 """
 
 import zlib
@@ -35,7 +38,8 @@ FOLDS, HELD_OUT = 7, 2
 DELETED = 8
 CONTEXT_BUCKETS = 40
 EM_ROUNDS = 60
-_STEPS, _SPAN = 8, 1024
+#: Cells of the histogram: steps in a power of two, and steps of an estimate; the outermost take what lies beyond.
+STEPS, SPAN = 2, 160
 _END, _START, _UNIGRAM = (np.uint64(x) for x in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B))
 
 
@@ -48,6 +52,7 @@ class Ngrams:
     pair_of: np.ndarray
     contexts: np.ndarray
     keys: np.ndarray
+    checks: np.ndarray
     key_of: np.ndarray
     owner: np.ndarray
     n_codes: int
@@ -63,17 +68,23 @@ class Ngrams:
         before = np.roll(tokens, 1)
         before[stops - c.counts] = end + 1
         pairs, pair_of = np.unique(before * (end + 2) + tokens, return_inverse=True)
-        h = np.append(words.hashes(c.vocab), [_END, _START])
-        contexts = pairs // (end + 2)
-        keys = np.concatenate([words.mix(h[: end + 1], np.full(end + 1, _UNIGRAM)), words.mix(h[contexts], h[pairs % (end + 2)])])
-        keys, key_of = np.unique(keys, return_inverse=True)
-        return cls(tokens, pairs, pair_of, contexts, keys, key_of, np.repeat(np.arange(len(c.counts)), c.counts + 1), end + 1)
+        contexts, nexts = pairs // (end + 2), pairs % (end + 2)
+
+        def grams(h: np.ndarray) -> np.ndarray:
+            h = np.append(h, [_END, _START])
+            return np.concatenate([words.mix(h[: end + 1], np.full(end + 1, _UNIGRAM)), words.mix(h[contexts], h[nexts])])
+
+        keys, checks = (grams(h) for h in words.halves(c.vocab))
+        checks = (checks & np.uint64(0xFFFFFFFF)).astype("<u4")
+        key_of, first = words.ranked(keys, checks)
+        owner = np.repeat(np.arange(len(c.counts)), c.counts + 1)
+        return cls(tokens, pairs, pair_of, contexts, keys[first], checks[first], key_of, owner, end + 1)
 
     def counted(self, weight: np.ndarray) -> np.ndarray:
         """By key, how often its n-gram stands in documents of weight 1."""
         w = weight[self.owner].astype(np.float64)
         counts = np.concatenate([np.bincount(self.tokens, w, self.n_codes), np.bincount(self.pair_of, w, len(self.pairs))])
-        return np.bincount(self.key_of, counts, len(self.keys)).astype("<u4")
+        return np.bincount(self.key_of, counts, len(self.keys)).astype("<i8")
 
     def parted(self, by_key: np.ndarray, documents: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By pair: the counts of the pair, its context (``documents`` for a start) and its token."""
@@ -103,15 +114,12 @@ def _context_bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(count + 1).astype(np.int64), CONTEXT_BUCKETS - 1)
 
 
-def learn(cells: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Mixture weights (context bucket, order 0 to 2) from a histogram of held-out tokens.
+def learn(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Mixture weights (context bucket, order 0 to 2) from held-out tokens, n of each kind.
 
-    A cell holds the context bucket and, in steps, the logarithms of the estimates of order 2 and 1
-    over that of order 0; step 0 is an estimate of nothing.
+    ``two`` and ``one`` are the estimates of order 2 and 1 over that of order 0.
     """
-    bucket, two, one = cells // _SPAN**2, cells // _SPAN % _SPAN, cells % _SPAN
-    value = lambda k: np.where(k > 0, np.exp2((k - _SPAN // 2) / _STEPS), 0.0)
-    p = np.column_stack([np.ones(len(cells)), value(one), value(two)])
+    p = np.column_stack([np.ones(len(n)), one, two])
 
     def em(p: np.ndarray, n: np.ndarray, prior: np.ndarray) -> np.ndarray:
         w = prior / prior.sum()
@@ -121,7 +129,7 @@ def learn(cells: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarr
             w /= w.sum()
         return w
 
-    pooled = em(p, n, np.full(3, 1e-2)) if len(cells) else np.array([1.0, 0.0, 0.0])
+    pooled = em(p, n, np.full(3, 1e-2)) if len(n) else np.array([1.0, 0.0, 0.0])
     out = np.tile(pooled, (CONTEXT_BUCKETS, 1))
     for b in np.unique(bucket):
         own = bucket == b
@@ -129,21 +137,27 @@ def learn(cells: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarr
     return out
 
 
+def _log2(ratio: np.ndarray) -> np.ndarray:
+    """Logarithms of estimates; of an estimate of nothing, 0."""
+    return np.log2(ratio, out=np.zeros_like(ratio), where=ratio > 0)
+
+
 def _steps(ratio: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        k = np.round(np.log2(ratio) * _STEPS) + _SPAN // 2
-    return np.where(ratio > 0, np.clip(k, 1, _SPAN - 1), 0).astype(np.int64)
+    """Cells of some estimates; 0 is an estimate of nothing."""
+    return np.where(ratio > 0, np.clip(np.round(_log2(ratio) * STEPS) + SPAN // 2, 1, SPAN - 1), 0).astype(np.int64)
+
 
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    ``fan_in`` is how many chunks one level of the exchange takes."""
     spark = docs.sparkSession
     stage = Stage(spark, "lm-score")
     deleted = _deleted(F.col(id_col).cast("long"))
     rest = chunks.tokenised(docs.where(~deleted), stage, True, id_col, text_col)
     part = chunks.tokenised(docs.where(deleted), stage, True, id_col, text_col, series=1)
     corpus = rest.unionByName(part)
-    n_buckets = chunks.buckets(corpus)
+    how = chunks.plan(corpus, exact=True, fan_in=fan_in)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,16 +168,20 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 unigram = np.zeros(len(grams.keys), bool)
                 unigram[grams.key_of[: grams.n_codes]] = True
                 gone = train if c.number >= chunks.SERIES else np.zeros(len(train), bool)
-                yield from chunks.cells(c.number, grams.keys, [grams.counted(train), grams.counted(gone), unigram], n_buckets)
+                notes = [grams.checks, grams.counted(train), grams.counted(gone), unigram]
+                yield from chunks.cells(c.number, grams.keys, notes, how.sent, how.rest)
 
     def total(group: np.ndarray, notes: list[np.ndarray]) -> list[np.ndarray]:
-        counts = [np.bincount(group, x).astype("<i8") for x in notes[:2]]
-        unigram = np.bincount(group, notes[2]) > 0
-        left = counts[0] - counts[1]
-        sums = [counts[0][unigram].sum(), (counts[0][unigram] > 0).sum(), left[unigram].sum(), (left[unigram] > 0).sum()]
-        return [*counts, np.array(sums, np.int64)]
+        return [*(np.bincount(group, x).astype("<i8") for x in notes[:2]), np.bincount(group, notes[2]) > 0]
+
+    def counts(notes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        (all_, gone), unigram = notes[:2], notes[2]
+        left = all_ - gone
+        sums = [all_[unigram].sum(), (all_[unigram] > 0).sum(), left[unigram].sum(), (left[unigram] > 0).sum()]
+        return [all_, gone], np.array(sums, np.int64)
 
-    replies = stage.write(chunks.answers(corpus.mapInArrow(ask, chunks.cell_schema(3)), ["<u4", "<u4", "bool"], total, 2), "replies")
+    what = chunks.Question(["<u4", "<i8", "<i8", "bool"], ["<i8", "<i8"], total, counts, checked=True)
+    replies = chunks.ask(corpus.mapInArrow(ask, chunks.cell_schema(4)), how, what, stage)
     sums = replies.where("sums is not null").agg(*[F.sum(F.col("sums")[i]) for i in range(4)]).first()
     n, v, n_left, v_left = (int(x or 0) for x in sums)
     held = F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
@@ -176,13 +194,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         pair, context, own = grams.parted(count, starts_left)
         two = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0) * (v_left + 1)
         one = own / max(n_left, 1) * (v_left + 1)
-        cells, of = np.unique((_context_bucket(context) * _SPAN + _steps(two)) * _SPAN + _steps(one), return_inverse=True)
-        times = np.bincount(of, np.bincount(grams.pair_of, minlength=len(of)), len(cells)).astype(np.int64)
-        return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(times)})
+        bucket, times = _context_bucket(context), np.bincount(grams.pair_of, minlength=len(pair))
+        cells, of = np.unique((bucket * SPAN + _steps(two)) * SPAN + _steps(one), return_inverse=True)
+        sums = [np.bincount(of, times * x, len(cells)) for x in (np.ones(len(times)), _log2(two), _log2(one))]
+        return pa.table({"cell": pa.array(cells, pa.int64())} | {k: pa.array(x) for k, x in zip(("n", "two", "one"), sums, strict=True)})
 
     of_part = part.groupBy("chunk").cogroup(replies.where(F.col("chunk") >= chunks.SERIES).groupBy("chunk"))
-    found = of_part.applyInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64))
+    found = of_part.applyInArrow(histogram, "cell long, n double, two double, one double")
+    # At most CONTEXT_BUCKETS * SPAN**2 rows.
+    found = found.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "two", "one"))).toPandas().sort_values("cell")
+    cell, n_of = found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+    two, one = (np.where(k > 0, np.exp2(found[c].to_numpy() / np.maximum(n_of, 1)), 0.0) for c, k in (("two", cell // SPAN % SPAN), ("one", cell % SPAN)))
+    weights = learn(cell // SPAN**2, two, one, n_of)
 
     def score(left: pa.Table, answer: pa.Table) -> pa.Table:
         c = chunks.Chunk.of(left)

@@ -1,20 +1,23 @@
 """Substring dedup by level-wise doubling.
 
 Windows of ``min_words`` words that start at more than one place of the corpus are repeated; the
-words they cover are removed.  Only windows repeated at one length are extended to twice that length
-(the window and the one that starts where it ends, both repeated), and again, until no candidate is
-left; the last length at which a document has a repeated window is reported with it.
+words they cover are removed.  Levels lead there: windows of a quarter of that length first, and only
+those that repeat are extended to twice their length (a window and the one that overlaps or follows it,
+both repeated), which are asked for again.  35 words are reached by way of 9 and 18.  What survives at
+``min_words`` decides the removal; it is extended further, to 70, 140, ..., until no candidate is left,
+and the last length at which a document has a repeated window is reported with it.
 
 Each level asks the buckets of ``chunks`` which keys occur elsewhere.  A chunk sends each distinct
 window once, noted if the chunk itself holds it twice, so a passage in a third of all documents is
 one entry a chunk.  Levels after the first carry places and hashes of the surviving windows only.
 
-Windows are compared by all of their 64-bit hashes, whatever the number of buckets: among w windows
-some w**2 / 2**65 accidental pairs at the first level, 3e-4 pairs for 1e8 windows, 0.7 for 5e9.
+Windows are equal where a 64-bit and a further, independent 32-bit hash of their words are: among w
+windows some w**2 / 2**97 accidental pairs, 0.003 for the 2e13 windows of 100 TB.
 
 Nulls and ties: all copies of a repeated window are removed, the first too.  A null text has no
 words; a text shorter than a window keeps all of its words.  Repeated rows remove each other.  A null
-doc_id stays null, and an empty table gives no rows.  Other columns are ignored.
+doc_id stays null, and an empty table gives no rows.  Other columns are ignored.  Very long texts: a
+text is never cut; one that is longer than a chunk is a chunk of its own, and its words must fit in a task.
 """
 
 import hashlib
@@ -29,143 +32,166 @@ from pyspark.sql import functions as F
 from cairnmem.llm import chunks, words
 from cairnmem.llm.staging import Stage
 
-_LEVEL = "chunk long, n long, counts binary, places binary, hashes binary"
-_DOC = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+#: The first level has at least so many words, if min_words has.
+FIRST_LEVEL = 8
+_DOC = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, longest long"
 
 
-def _sent(number: int, keys: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    distinct, times = np.unique(keys, return_counts=True)
-    return chunks.cells(number, distinct, [times > 1], n_buckets, chunks.whole(n_buckets))
+def levels(min_words: int) -> list[int]:
+    """Window lengths from the first level to min_words, each at most twice the one before.
 
+    >>> levels(35)
+    [9, 18, 35]
+    """
+    out = [min_words]
+    while -(-out[0] // 2) >= FIRST_LEVEL:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
-def _repeated(keys: np.ndarray, replies: pa.Table) -> np.ndarray:
+
+def _sent(number: int, keys: np.ndarray, checks: np.ndarray, how: chunks.Plan) -> Iterator[pa.RecordBatch]:
+    group, first = words.ranked(keys, checks)
+    return chunks.cells(number, keys[first], [checks[first], np.bincount(group, minlength=len(first)) > 1], how.sent, how.rest)
+
+
+def _repeated(keys: np.ndarray, checks: np.ndarray, replies: pa.Table) -> np.ndarray:
     """Which of a chunk's keys occur elsewhere."""
-    _, of = np.unique(keys, return_inverse=True)
-    return chunks.reply(replies, "bool")[of] if len(keys) else np.empty(0, bool)
-
-
-def _next_level(number: int, counts: np.ndarray, places: np.ndarray, h: np.ndarray, length: int) -> dict[str, list]:
-    """Candidates of twice the length, from the repeated windows (ordered places and hashes)."""
-    after = np.searchsorted(places, places + length)
-    after = np.minimum(after, max(len(places) - 1, 0))
-    both = np.flatnonzero(places[after] == places + length) if len(places) else np.empty(0, np.int64)
-    ends = np.cumsum(counts)
-    owner = np.searchsorted(ends, places[both], side="right")
-    both = both[places[both] + 2 * length <= ends[owner]] if len(both) else both
-    if not len(both):
-        return {}
-    return {
-        "chunk": [number],
-        "n": [len(both)],
-        "counts": [chunks.squeeze(counts.astype("<i8"))],
-        "places": [chunks.squeeze(np.diff(places[both], prepend=0).astype("<i8"))],
-        "hashes": [words.mix(h[both], h[after[both]]).astype("<u8").tobytes()],
-    }
+    return chunks.reply(replies, "bool")[words.ranked(keys, checks)[0]] if len(keys) else np.empty(0, bool)
 
 
 _TYPES = {
-    "row": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(),
-    "text": pa.string(), "length": pa.int64(), "chunk": pa.int64(), "n": pa.int64(), "counts": pa.binary(), "places": pa.binary(),
-    "hashes": pa.binary(),
+    "chunk": pa.int64(), "length": pa.int64(), "n": pa.int64(), "counts": pa.binary(), "places": pa.binary(), "keys": pa.binary(),
+    "checks": pa.binary(),
 }
-_OUT = f"{_DOC}, length long, {_LEVEL}"
-
-
-def _rows(**cols) -> pa.Table:
-    n = max((len(c) for c in cols.values()), default=0)
-    return pa.table({k: pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in _TYPES.items()})
+_OUT = "chunk long, length long, n long, counts binary, places binary, keys binary, checks binary"
+
+
+def _rows(rows: list[dict]) -> pa.Table:
+    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in _TYPES.items()})
+
+
+def _passed(
+    number: int, counts: np.ndarray, places: np.ndarray, keys: np.ndarray, checks: np.ndarray, length: int, longer: int, min_words: int
+) -> pa.Table:
+    """What is known after a level: candidates of the next, and (without keys) what was found: the
+    repeated windows at min_words, the documents that have any beyond."""
+    rows = []
+    owner = np.searchsorted(np.cumsum(counts), places, side="right")
+    if length >= min_words and len(places):
+        what = places if length == min_words else words.distinct(owner)
+        rows.append({"chunk": number, "length": length, "n": len(what), "places": chunks.squeeze(np.diff(what, prepend=0).astype("<i8"))})
+    step = longer - length
+    after = np.minimum(np.searchsorted(places, places + step), max(len(places) - 1, 0))
+    both = np.flatnonzero(places[after] == places + step)
+    both = both[places[both] + longer <= np.cumsum(counts)[owner[both]]]
+    if len(both):
+        rows.append(
+            {
+                "chunk": number, "length": longer, "n": len(both), "counts": chunks.squeeze(counts.astype("<i8")),
+                "places": chunks.squeeze(np.diff(places[both], prepend=0).astype("<i8")),
+                "keys": words.mix(keys[both], keys[after[both]]).astype("<u8").tobytes(),
+                "checks": _low(words.mix(checks[both].astype(np.uint64), checks[after[both]].astype(np.uint64))).tobytes(),
+            }
+        )
+    return _rows(rows)
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
+def _windows(c: chunks.Chunk, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows of n words start, their keys and their checks."""
+    at = words.starts(c.counts, n)
+    a, b = c.halves()
+    return at, words.windows(a, n)[at], _low(words.windows(b, n)[at])
 
 
 def remove_repeats(
-    docs: DataFrame, min_words: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True
+    docs: DataFrame, min_words: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True,
+    fan_in: int | None = None,
 ) -> DataFrame:
     """doc_id, text without repeated passages (its words joined by spaces), n_words, n_removed,
-    kept_sha256 of that text, and longest: the last level with a repeated window, 0 for none."""
+    kept_sha256 of that text, and longest: the last of min_words, 2 * min_words, ... with a repeated
+    window, 0 for none.  ``fan_in`` is how many chunks one level of the exchange takes."""
     stage = Stage(docs.sparkSession, "substring-dedup")
     corpus = chunks.tokenised(docs, stage, lower=False, id_col=id_col, text_col=text_col)
-    n_buckets = chunks.buckets(corpus)
+    up = levels(min_words)
+    how = chunks.plan(corpus, exact=True, fan_in=fan_in)
+    first, second = up[0], up[1] if len(up) > 1 else 2 * min_words
 
     def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 c = chunks.Chunk.of(pa.table(batch.slice(i, 1)))
-                yield from _sent(c.number, words.windows(c.hashes(), min_words)[words.starts(c.counts, min_words)], n_buckets)
+                yield from _sent(c.number, *_windows(c, first)[1:], how)
 
     def first_level(left: pa.Table, replies: pa.Table) -> pa.Table:
         c = chunks.Chunk.of(left)
-        at = words.starts(c.counts, min_words)
-        h = words.windows(c.hashes(), min_words)[at]
-        hit = _repeated(h, replies)
-        places, h = at[hit], h[hit]
-        edges = np.zeros(len(c.ids) + 1, np.int32)
-        np.add.at(edges, places, 1)
-        np.add.at(edges, places + min_words, -1)
-        kept = np.cumsum(edges)[:-1] == 0
+        at, keys, checks = _windows(c, first)
+        hit = _repeated(keys, checks, replies)
+        return _passed(c.number, c.counts, at[hit], keys[hit], checks[hit], first, second, min_words)
+
+    def kept(left: pa.Table, found: pa.Table) -> pa.Table:
+        c = chunks.Chunk.of(left)
+        edges, longest = np.zeros(len(c.ids) + 1, np.int32), np.zeros(len(c.counts), np.int64)
         owner = c.owners()
-        n_kept = np.bincount(owner, kept, minlength=len(c.counts)).astype(np.int64)
-        stay = c.vocab.take(pa.array(c.ids[kept])).cast(pa.large_string())
+        for r in found.select(["length", "places"]).sort_by("length").to_pylist():
+            places = np.cumsum(chunks.unsqueeze(r["places"], "<i8"))
+            if r["length"] == min_words:
+                np.add.at(edges, places, 1)
+                np.add.at(edges, places + min_words, -1)
+            longest[owner[places] if r["length"] == min_words else places] = r["length"]
+        keep = np.cumsum(edges)[:-1] == 0
+        n_kept = np.bincount(owner, keep, minlength=len(c.counts)).astype(np.int64)
+        stay = c.vocab.take(pa.array(c.ids[keep])).cast(pa.large_string())
         lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_kept)])), stay)
         texts = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).to_pylist()
-        longest = np.zeros(len(c.counts), np.int64)
-        longest[owner[places]] = min_words
-        out = [
-            _rows(
-                row=c.rows(), doc_id=c.doc_ids, n_words=c.counts, n_removed=c.counts - n_kept,
-                kept_sha256=[hashlib.sha256(t.encode()).hexdigest() for t in texts], text=texts if with_text else [None] * len(texts),
-                length=longest,
-            )
-        ]
-        if more := _next_level(c.number, c.counts, places, h, min_words):
-            out.append(_rows(**more))
-        return pa.concat_tables(out)
-
-    asked = corpus.select("chunk", "n_words", "docs", "vocab", "ids").mapInArrow(first_keys, chunks.cell_schema(1))
-    replies = stage.write(chunks.answers(asked, ["bool"], chunks.shared, 1, chunks.whole(n_buckets)), "replies")
-    found = corpus.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(first_level, _OUT)
-    found = stage.write(found.withColumn("kind", F.when(F.col("places").isNull(), "document").otherwise("level")), "first", by="kind")
-    stage.drop(corpus, replies)
-    result = found.where("kind = 'document'").select("row", "doc_id", "text", "n_words", "n_removed", "kept_sha256", "length")
-    level = found.where("kind = 'level'").select("chunk", "n", "counts", "places", "hashes")
-    lengths, length = [], 2 * min_words
+        return pa.table(
+            {
+                "doc_id": c.doc_ids, "n_words": pa.array(c.counts), "n_removed": pa.array(c.counts - n_kept),
+                "kept_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+                "text": pa.array(texts, pa.string()) if with_text else pa.nulls(len(texts), pa.string()), "longest": pa.array(longest),
+            }
+        )
+
+    replies = chunks.ask(corpus.mapInArrow(first_keys, chunks.cell_schema(2)), how, chunks.shared(checked=True), stage)
+    level, one = _staged(corpus.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(first_level, _OUT), stage)
+    stage.drop(replies)
+    found, length = one, second
     while level.limit(1).count():
-        level, longer = _double(level, length, stage)
-        lengths.append(longer)
-        length *= 2
-    if lengths:
-        for more in lengths[1:]:
-            lengths[0] = lengths[0].unionByName(more)
-        best = lengths[0].groupBy("row").agg(F.max("length").alias("longer"))
-        result = result.join(best, "row", "left").withColumn("length", F.greatest("length", F.coalesce("longer", F.lit(0))))
-    return result.select("doc_id", "text", "n_words", "n_removed", "kept_sha256", F.col("length").alias("longest"))
+        longer = up[up.index(length) + 1] if length < min_words else 2 * length
+        level, more = _next(level, length, longer, min_words, stage, fan_in)
+        found, length = found.unionByName(more), longer
+    out = corpus.groupBy("chunk").cogroup(found.select("chunk", "length", "places").groupBy("chunk")).applyInArrow(kept, _DOC)
+    return out.select("doc_id", "text", "n_words", "n_removed", "kept_sha256", "longest")
+
 
+def _staged(passed: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the next level, and what was found."""
+    passed = passed.withColumn("kind", F.when(F.col("keys").isNull(), "found").otherwise("level"))
+    passed = stage.write(passed, "level", by="kind")
+    return passed.where("kind = 'level'").drop("kind"), passed.where("kind = 'found'").drop("kind")
 
-def _double(level: DataFrame, length: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """Candidates of 2 * length, and the documents with repeated windows of this length."""
-    n_buckets = chunks.buckets(level, "n")
+
+def _next(level: DataFrame, length: int, longer: int, min_words: int, stage: Stage, fan_in: int | None) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the next level, and what was found at this one."""
+    how = chunks.plan(level, "n", exact=True, fan_in=fan_in)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from _sent(number, np.frombuffer(h, "<u8"), n_buckets)
+            for number, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield from _sent(number, np.frombuffer(k, "<u8"), np.frombuffer(c, "<u4"), how)
 
     def extend(left: pa.Table, replies: pa.Table) -> pa.Table:
         row = left.slice(0, 1).to_pylist()[0]
         counts, places = chunks.unsqueeze(row["counts"], "<i8"), np.cumsum(chunks.unsqueeze(row["places"], "<i8"))
-        h = np.frombuffer(row["hashes"], "<u8")
-        hit = _repeated(h, replies)
-        places, h = places[hit], h[hit]
-        owner = words.distinct(np.searchsorted(np.cumsum(counts), places, side="right"))
-        out = [_rows(row=(row["chunk"] << 24) + owner, length=np.full(len(owner), length, np.int64))]
-        if more := _next_level(row["chunk"], counts, places, h, length):
-            out.append(_rows(**more))
-        return pa.concat_tables(out)
-
-    asked = level.select("chunk", "hashes").mapInArrow(keys, chunks.cell_schema(1))
-    replies = stage.write(chunks.answers(asked, ["bool"], chunks.shared, 1, chunks.whole(n_buckets)), "replies")
-    found = level.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(extend, _OUT)
-    found = stage.write(found.withColumn("kind", F.when(F.col("places").isNull(), "document").otherwise("level")), "level", by="kind")
+        k, c = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["checks"], "<u4")
+        hit = _repeated(k, c, replies)
+        return _passed(row["chunk"], counts, places[hit], k[hit], c[hit], length, longer, min_words)
+
+    asked = level.select("chunk", "keys", "checks").mapInArrow(keys, chunks.cell_schema(2))
+    replies = chunks.ask(asked, how, chunks.shared(checked=True), stage)
+    out = _staged(level.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(extend, _OUT), stage)
     stage.drop(replies)
-    return (
-        found.where("kind = 'level'").select("chunk", "n", "counts", "places", "hashes"),
-        found.where("kind = 'document'").select("row", "length"),
-    )
+    return out

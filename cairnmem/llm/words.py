@@ -5,7 +5,7 @@ on arrays of a few million words, so that a task's memory depends on the chunk s
 document, not on the input.
 
 Words and windows are named by 64-bit hashes.  Two different ones share a hash with probability
-2**-64; what needs more says so.
+2**-64; what needs more uses both halves of ``halves``.
 """
 
 from collections.abc import Iterator
@@ -15,27 +15,31 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Bytes of text that are handled at once.
+#: Bytes of text that are handled at once, and rows (of which many may be empty).
 CHUNK_BYTES = 8 << 20
+CHUNK_ROWS = 1 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
-    """The rows of some batches, as tables of about ``limit`` bytes of text (or one longer text)."""
+def text_chunks(
+    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, most: int = CHUNK_ROWS
+) -> Iterator[pa.Table]:
+    """The rows of some batches, as tables of about ``limit`` bytes of text (or one longer text) and at
+    most ``most`` rows."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, rows = 0, 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         begin, before = 0, 0
         while begin < batch.num_rows:
             stop = max(begin + 1, int(np.searchsorted(ends, before + limit - size, side="right")))
-            stop = min(stop, batch.num_rows)
+            stop = min(stop, batch.num_rows, begin + most - rows)
             held.append(batch.slice(begin, stop - begin))
-            size += int(ends[stop - 1]) - before
+            size, rows = size + int(ends[stop - 1]) - before, rows + stop - begin
             begin, before = stop, int(ends[stop - 1])
-            if size >= limit or begin < batch.num_rows:
+            if size >= limit or rows >= most or begin < batch.num_rows:
                 yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -69,6 +73,35 @@ def hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter(map(h, words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
 
 
+def halves(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, words.cast(pa.large_binary()).to_pylist()))
+    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
+def ranked(keys: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each (key, check), its place among the sorted distinct ones; and where one of each stands."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def news(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = keys[order]
+        own = np.concatenate([[True], k[1:] != k[:-1]])
+        c = check[order] if check is not None else k
+        return own, np.concatenate([[True], c[1:] != c[:-1]])
+
+    order = np.argsort(keys)
+    new, other = news(order)
+    if (other & ~new).any():  # two checks of one key, which must stand together
+        order = np.lexsort((check, keys))
+        new, other = news(order)
+    new |= other
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, order[new]
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """The sorted distinct values; by sorting, which for many different values beats hashing."""
     x = np.sort(x)

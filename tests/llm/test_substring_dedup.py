@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cairnmem.llm import chunks, substring_dedup
+from cairnmem.llm import chunks, substring_dedup, words
+from cairnmem.llm.staging import Stage
 
 
 def brute(rows, n):
@@ -45,12 +46,25 @@ def test_against_brute_force(documents, texts, n):
 @pytest.mark.parametrize("n", [1, 16, 255, 256, 300, 5000])
 def test_keys_of_one_bucket_that_differ_in_any_bit_are_not_shared(spark, n):
     keys = np.array([0x0123456789ABCDEF ^ (1 << bit) for bit in range(64)] + [0x0123456789ABCDEF], np.uint64)
-    sent = [b for i, k in enumerate(keys) for b in substring_dedup._sent(i, keys[i : i + 1], n)]
+    how = chunks.Plan(n, n, 1, chunks.whole(n))
+    sent = [b for i, k in enumerate(keys) for b in substring_dedup._sent(i, keys[i : i + 1], np.zeros(1, "<u4"), how)]
     df = spark.createDataFrame(pa.Table.from_batches(sent).to_pandas())
-    found = chunks.answers(df, ["bool"], chunks.shared, 1, chunks.whole(n)).collect()
+    found = chunks.ask(df, how, chunks.shared(checked=True), Stage(spark, "test")).collect()
     assert len(found) == 65 and not any(chunks._unnote(r["reply0"], 1, "bool")[0] for r in found)
 
 
+def test_keys_of_two_checks_are_not_shared():
+    keys, checks = np.array([5, 5, 7, 5, 7], np.uint64), np.array([1, 2, 1, 1, 1], "<u4")
+    group, first = words.ranked(keys, checks)
+    assert group.tolist() == [0, 1, 2, 0, 2] and checks[first].tolist() == [1, 2, 1] and keys[first].tolist() == [5, 5, 7]
+
+
+def test_two_levels_of_exchange_give_the_same(documents, texts):
+    found = {r["doc_id"]: r for r in substring_dedup.remove_repeats(documents.repartition(7), 35, fan_in=2).collect()}
+    for (i, _), expected in zip(texts, brute(texts, 35), strict=True):
+        assert (found[i]["n_words"], found[i]["n_removed"], found[i]["kept_sha256"], found[i]["text"]) == expected
+
+
 def test_odd_rows(odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     found = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(odd, 35).collect())
