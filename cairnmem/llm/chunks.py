@@ -50,13 +50,17 @@ def unsqueeze(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
-def _ipc(table: pa.Table) -> bytes:
+def ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
+def unipc(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
 @dataclass
 class Chunk:
     """One decoded chunk: documents (their ids and a hash of their texts), and the codes of their words."""
@@ -109,8 +113,8 @@ def tokenised(
         for table in words.text_chunks(batches, limit=chunk_bytes):
             flat, counts = words.split(table["text"], lower)
             vocab, ids = words.coded(flat)
-            about = _ipc(pa.table({"doc_id": table["doc_id"], "mark": table["mark"], "n": pa.array(counts)}))
-            cols = [[number], [len(ids)], [about], [_ipc(pa.table({"word": vocab}))], [squeeze(ids.astype("<i4"))]]
+            about = ipc(pa.table({"doc_id": table["doc_id"], "mark": table["mark"], "n": pa.array(counts)}))
+            cols = [[number], [len(ids)], [about], [ipc(pa.table({"word": vocab}))], [squeeze(ids.astype("<i4"))]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(cols)],
                 names=["chunk", "n_words", "docs", "vocab", "ids"],
@@ -134,10 +138,12 @@ class Plan:
     rest: int
 
 
-def plan(chunks: DataFrame, keys_col: str = "n_words", exact: bool = False, fan_in: int | None = None) -> Plan:
+def plan(
+    chunks: DataFrame, keys_col: str = "n_words", exact: bool = False, fan_in: int | None = None, bucket_keys: int = BUCKET_KEYS
+) -> Plan:
     """How to exchange the keys of some chunks, from how many of both there are."""
     n, keys = chunks.agg(F.count("*"), F.sum(keys_col)).first()
-    wanted = min(1 << 24, max(4 * partitions(chunks.sparkSession), (keys or 0) // BUCKET_KEYS + 1))
+    wanted = min(1 << 24, max(4 * partitions(chunks.sparkSession), (keys or 0) // bucket_keys + 1))
     groups = -(-n // (fan_in or FAN_IN))
     if groups <= 1:
         return Plan(wanted, wanted, 1, whole(wanted) if exact else _REST)

@@ -7,6 +7,7 @@ from oracle import connection, same_rows
 
 from cairnmem.llm import exact_dedup
 from cairnmem.llm.queries import ORACLE_SQL, QUERIES
+from cairnmem.llm.staging import Stage
 
 
 def brute(rows):
@@ -39,5 +40,25 @@ def test_drop_keeps_columns_and_one_of_each(odd):
     assert sorted(i for i, _ in found if i) == [1, 3, 5, 7, 8, 9, 10, 11, 12]
 
 
+def scans(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("documents.parquet")
+
+
+def test_documents_are_read_as_often_for_many_segments(documents):
+    """Results do not change with segments, levels or a filter that is too small; nor do the scans."""
+    one = exact_dedup.drop_copies(documents)
+    many = exact_dedup.drop_copies(documents.repartition(5), segment_bytes=4, filter_bytes=8, fan_in=2)
+    key = lambda df: sorted((r["doc_id"], r["text"] or "") for r in df.collect())
+    assert key(one) == key(many)
+    assert scans(one) == scans(exact_dedup.drop_copies(documents, segment_bytes=4)) == 2
+    # The classes are made from staged digests: the documents have been read, once.
+    assert scans(exact_dedup.classes(documents, segment_bytes=4)) == 0
+
+
+def test_few_unique_rows_are_taken_for_repeated(spark):
+    probed = exact_dedup._probed(spark.range(20000).selectExpr("id doc_id", "cast(id as string) text"), "doc_id", "text", Stage(spark, "test"), 1 << 20, None)
+    assert probed.where("maybe").count() < 400
+
+
 def test_empty(empty):
     assert exact_dedup.classes(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
