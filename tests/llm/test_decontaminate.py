@@ -86,6 +86,49 @@ def test_a_verbatim_copy_in_letters_with_odd_lower_case():
     assert {(r, i, first, s) for r, i, first, _, s in found} == {(0, 1, 1, 1.0), (1, 2, 1, 1.0)}
 
 
+def test_a_long_item_in_a_long_text():
+    rng = np.random.default_rng(1)
+    item = [f"v{k}" for k in rng.integers(0, 3000, 10_000)]
+    copy = [w if k % 60 else "edit" for k, w in enumerate(item)]
+    text = [f"z{k}" for k in range(300)] + copy + [f"z{k}" for k in range(200)]
+    items = [(1, " ".join(item)), (2, " ".join(item[:500]))]
+    found = decontaminate.Index(items).matches(pa.array([" ".join(text)]))
+    expected = brute([(0, " ".join(text))], items)
+    assert {(r, i): (round(s, 9), first) for r, i, first, _, s in found} == {k: (round(s, 9), at) for k, (s, at) in expected.items()} and len(found) == 2
+
+
+def test_sliding_is_the_same_as_starting_anew():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**63, 12, dtype=np.uint64)[rng.integers(0, 12, 400)]
+    slid = decontaminate.Windows(h, 37)
+    bags = [Counter(h[a : a + 37].tolist()) for a in range(364)]
+    assert (slid.prints() == np.concatenate([decontaminate.Windows(h[a : a + 37], 37).prints() for a in range(364)])).all()
+    own = Counter(rng.choice(h, 30).tolist())
+    expected = [sum((b & own).values()) / sum((b | own).values()) for b in bags]
+    kinds = sorted(own)
+    got = slid.similarities(np.array(kinds, np.uint64), np.array([own[x] for x in kinds]))
+    assert np.allclose(got, expected)
+
+
+def test_recall_and_pruning_of_the_multi_index():
+    """Windows of similarities just above the threshold are candidates; unlike ones hardly ever are."""
+    rng = np.random.default_rng(3)
+    found = tried = unlike = 0
+    for m, changed in ((9, 1), (19, 2), (46, 5), (100, 11), (400, 44)):  # similarities of 0.80 to 0.81
+        items = rng.integers(0, 2**63, (300, m), dtype=np.uint64)
+        edited = items.copy()
+        edited[:, :changed] = rng.integers(0, 2**63, (300, changed), dtype=np.uint64)
+        index = decontaminate.Index([])
+        prints, asked = (np.concatenate([decontaminate.Windows(x, m).prints() for x in y]) for y in (items, edited))
+        index.sizes[m] = (list(range(300)), None, prints)
+        keys = index._asked(prints)
+        order = np.argsort(keys, axis=None)
+        index._index[m] = (keys.ravel()[order], (order // keys.shape[1]).astype(np.int32))
+        pairs = set(index._candidates(m, asked))
+        found, tried, unlike = found + sum((i, i) in pairs for i in range(300)), tried + 300, unlike + sum(a != b for a, b in pairs)
+    assert found / tried > 0.999 and unlike / (tried * 299) < 1e-3
+
+
 def test_empty(spark, sf_dir, empty, odd):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert decontaminate.find(empty, bench).count() == 0 and decontaminate.find(odd, bench.where("false")).count() == 0
