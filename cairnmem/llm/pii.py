@@ -10,7 +10,8 @@ Patterns are anchored at the start of a run of characters or at a rare character
 is linear in the text, also for very long runs.  The operator only maps: no shuffle.
 
 Nulls and ties: a null or empty text has no spans; a null doc_id stays null; repeated rows give
-repeated results; an empty table gives none.  Positions are code points, the end exclusive.
+repeated results; an empty table gives none.  Very long texts are searched whole, in linear time.  Positions
+are code points, the end exclusive.  Words of context are English; in other languages the prior alone counts.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ PRIORS = {
     "short_card": (0.3, r"card|visa|amex|credit|pay"),
     "national_id": (0.3, r"\bssn\b|social|security|tax|identity"),
 }
-_CONTEXT = {kind: re.compile(words, re.IGNORECASE) for kind, (_, words) in PRIORS.items()}
+_CONTEXT = {kind: re.compile(words, re.IGNORECASE | re.ASCII) for kind, (_, words) in PRIORS.items()}
 
 
 def luhn(digits: str) -> bool:

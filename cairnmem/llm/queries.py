@@ -1,4 +1,4 @@
-"""The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
+"""The queries of this subpackage; ``oracles`` has DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmem.llm import decontaminate, exact_dedup, jaccard_join, lm_score, packing, pii, quality, sharding, substring_dedup, token_counts
+from cairnmem.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +91,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sharding": op10_sharding,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_exact_dedup": r"""
-        WITH t AS (
-            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
-        )
-        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
-        FROM t WINDOW g AS (PARTITION BY text_sha256)
-    """,
-}
