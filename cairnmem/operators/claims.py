@@ -4,7 +4,7 @@ A claim is an edge with polarity, modality, validity and a source.  Joins on a c
 joins with a residual condition, so the sort-merge plan (and its split of skewed keys) applies.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnmem.schema import CLAIM_DEFAULTS, CONFIDENCE_RANK, MODALITIES, with_defaults
@@ -46,8 +46,9 @@ def ingest(new: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def latest(claims: DataFrame, order: str = "claim_id") -> DataFrame:
     """One claim of each (src, dst, rel_type, extractor, polarity, namespace): the latest."""
-    w = Window.partitionBy("src", "dst", "rel_type", "extractor", "polarity", "namespace").orderBy(F.desc(order))
-    return claims.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    keys = ("src", "dst", "rel_type", "extractor", "polarity", "namespace")
+    # As a maximum, which combines before the shuffle.
+    return claims.groupBy(*keys).agg(F.max_by(F.struct(*claims.columns), order).alias("_c")).select("_c.*")
 
 
 def of_entity(claims: DataFrame, entity: str, namespace: str | None = None) -> DataFrame:
@@ -135,13 +136,21 @@ def reconcile(claims: DataFrame, t: float) -> DataFrame:
     return best.select(*KEY, F.when(F.col("w.p") == -1, "YES").otherwise("NO").alias("verdict"), "w.claim_id", "w.extractor", "w.confidence_band")
 
 
+def contradiction_counts(claims: DataFrame, system_prefix: str = "system.") -> DataFrame:
+    """Of each subject: how many polarity contradictions and denials it has, without making the pairs: on one
+    relation each positive claim contradicts each negative one."""
+    system = (F.col("polarity") == 1) & F.col("extractor").startswith(system_prefix)
+    one = claims.groupBy(*KEY).agg(
+        F.count_if(F.col("polarity") == 1).alias("yes"), F.count_if(F.col("polarity") == -1).alias("no"), F.count_if(system).alias("logged")
+    )
+    both = one.where("no > 0 and yes > 0").groupBy("src")
+    return both.agg(F.sum(F.col("yes") * F.col("no")).alias("n_polarity"), F.sum(F.col("logged") * F.col("no")).alias("n_denials"))
+
+
 def verdict_scores(claims: DataFrame) -> DataFrame:
     """Points of each subject: 3 a polarity contradiction, 2 a temporal one, 2 a denial; and a label."""
-    points = (
-        polarity_contradictions(claims).select("src", F.lit(3).alias("points"))
-        .unionByName(temporal_contradictions(claims).select("src", F.lit(2).alias("points")))
-        .unionByName(presence_denials(claims).select("src", F.lit(2).alias("points")))
-    )
+    counted = contradiction_counts(claims).select("src", (3 * F.col("n_polarity") + 2 * F.col("n_denials")).alias("points"))
+    points = counted.unionByName(temporal_contradictions(claims).groupBy("src").agg((2 * F.count("*")).alias("points")))
     label = F.when(F.col("score") >= 5, "VERY HIGH").when(F.col("score") >= 3, "HIGH").otherwise("elevated")
     return points.groupBy("src").agg(F.sum("points").alias("score")).withColumn("label", label)
 
@@ -170,6 +179,31 @@ def _contenders(claims: DataFrame, aliases: DataFrame, policies: DataFrame) -> D
     return with_policy(resolve_aliases(scanned, aliases), policies)
 
 
+SCOPE = ("namespace", "src", "rel_type")
+
+
+def _timed() -> Column:
+    """Whether the claims a and b both have a time."""
+    return F.expr("(valid_from_a is not null or valid_to_a is not null) and (valid_from_b is not null or valid_to_b is not null)")
+
+
+def _meet() -> Column:
+    """Whether the windows of a and b meet, open ends reaching for ever."""
+    starts = [F.coalesce(f"valid_from_{s}", F.lit(float("-inf"))) for s in "ab"]
+    ends = [F.coalesce(f"valid_to_{s}", F.lit(float("inf"))) for s in "ab"]
+    return (ends[0] >= starts[1]) & (ends[1] >= starts[0])
+
+
+def conflicted(claims: DataFrame, aliases: DataFrame, policies: DataFrame) -> DataFrame:
+    """claim_id of the claims that take part in any scoped conflict: a semi join, which stops at the first
+    rival of a claim and makes no pairs."""
+    df = _contenders(claims, aliases, policies).where("not overlap_allowed")
+    columns = ("claim_id", "dst", "valid_from", "valid_to")
+    a, b = _side(df, "a", SCOPE, columns), _side(df, "b", tuple(F.col(c).alias(f"{c}_b") for c in SCOPE), columns)
+    same = [F.col(c) == F.col(f"{c}_b") for c in SCOPE]
+    return a.join(b, [*same, F.expr("dst_a <> dst_b"), ~_timed() | _meet()], "left_semi").select(F.col("claim_id_a").alias("claim_id")).distinct()
+
+
 def scoped_conflicts(claims: DataFrame, aliases: DataFrame, policies: DataFrame) -> DataFrame:
     """Pairs of claims on different objects of a relation that allows one, with severity and reasons.
 
@@ -177,14 +211,10 @@ def scoped_conflicts(claims: DataFrame, aliases: DataFrame, policies: DataFrame)
     later one succeeds the earlier and nothing is reported.  A missing time has the policy's severity.
     """
     df = _contenders(claims, aliases, policies).where("not overlap_allowed")
-    keys = ("namespace", "src", "rel_type")
+    keys = SCOPE
     columns = ("claim_id", "dst", "valid_from", "valid_to", "missing_time_severity", "source_memory_rid")
     pairs = _side(df, "a", keys, columns).join(_side(df, "b", keys, columns), list(keys)).where("claim_id_a < claim_id_b and dst_a <> dst_b")
-    timed = F.expr("(valid_from_a is not null or valid_to_a is not null) and (valid_from_b is not null or valid_to_b is not null)")
-    forever = F.lit(float("inf"))
-    starts = [F.coalesce(f"valid_from_{s}", -forever) for s in "ab"]
-    ends = [F.coalesce(f"valid_to_{s}", forever) for s in "ab"]
-    meet = (ends[0] >= starts[1]) & (ends[1] >= starts[0])
+    timed, meet = _timed(), _meet()
     severity = F.when(timed, "high").otherwise(F.col("missing_time_severity_a"))
     second = F.when(timed, "overlapping_validity_windows").otherwise("missing_temporal_qualifier")
     return pairs.where(~timed | meet).select(
@@ -197,8 +227,7 @@ def claim_status(claims: DataFrame, aliases: DataFrame, policies: DataFrame, now
     """The status of each claim, the first that holds: conflicted, superseded (a later claim of the
     subject and relation begins at or after its end), historical (ended), low_confidence,
     uncorroborated (one source for the relation), active."""
-    hit = scoped_conflicts(claims, aliases, policies)
-    ids = hit.select(F.explode(F.array("claim_id_a", "claim_id_b")).alias("claim_id")).distinct().withColumn("_conflicted", F.lit(True))
+    ids = conflicted(claims, aliases, policies).withColumn("_conflicted", F.lit(True))
     # The latest begin of a subject and relation, and the sources of each claim's key, as plain aggregates.
     last = claims.groupBy("namespace", "src", "rel_type").agg(F.max("valid_from").alias("_last"))
     sources = claims.groupBy(*KEY).agg(F.countDistinct("source_memory_rid").alias("_sources"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnmem.functions import scoring, vectors
+from cairnmem.runtime import cut
 from cairnmem.schema import DAY
 
 TRIGGER_COLUMNS = ("trigger_type", "reason", "urgency", "source_rids", "suggested_action")
@@ -90,44 +91,30 @@ def step_triggers(triggers: DataFrame, events: DataFrame, now: float) -> DataFra
 def cluster_links(memories: DataFrame, threshold: float = 0.6, window: float = 7 * DAY) -> DataFrame:
     """(a, b, similarity) of active memories that are similar and near in time."""
     some = active(memories).where("embedding is not null")
-    pairs = vectors.similar_pairs(some, "rid", "embedding", threshold)
-    at = some.select("rid", "created_at")
-    joined = pairs.join(at.select(F.col("rid").alias("id_a"), F.col("created_at").alias("at_a")), "id_a")
-    joined = joined.join(at.select(F.col("rid").alias("id_b"), F.col("created_at").alias("at_b")), "id_b")
-    return joined.where(F.abs(F.col("at_a") - F.col("at_b")) <= window).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity")
+    pairs = vectors.similar_pairs(some, "rid", "embedding", threshold, within=("created_at", window))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity")
 
 
 def connected(links: DataFrame, rounds: int = 32) -> DataFrame:
     """(id, root) of the ends of links (a, b): the smallest id that is reachable.
 
     Labels go along links and then to their label's label, so a chain of n needs about log2(n) rounds;
-    each round's labels are checkpointed.
+    each round's labels are checkpointed.  Labels that still change after ``rounds`` are an error.
     """
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
-    both = _cut(both)
+    both = cut(both)
     labels = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).withColumnRenamed("x", "id")
-    labels = _cut(labels)
+    labels = cut(labels)
     for _ in range(rounds):
         near = both.join(labels.select(F.col("id").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
         step = labels.join(near, labels.id == near.x).select("id", F.least("root", "near").alias("root"))
         jump = step.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        step = _cut(step.join(jump, "root", "left").select("id", F.coalesce(F.least("root", "far"), "root").alias("root")))
+        step = cut(step.join(jump, "root", "left").select("id", F.coalesce(F.least("root", "far"), "root").alias("root")))
         changed = step.join(labels.withColumnRenamed("root", "old"), "id").where("root <> old").limit(1).count()
         labels = step
         if not changed:
-            break
-    return labels
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or "/tmp/cairnmem-checkpoints")
-    return df.checkpoint()
+            return labels
+    raise RuntimeError(f"components are not settled after {rounds} rounds: raise the number of rounds")
 
 
 def clusters(

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnmem.runtime import cut
+
 KEY = ("src", "dst", "rel_type")
 
 
@@ -63,13 +65,16 @@ def hubs(edges: DataFrame, least: int = 5) -> DataFrame:
 def proximity(edges: DataFrame, links: DataFrame, seeds: list[str], hops: int = 2) -> DataFrame:
     """(rid, graph_proximity) of memories linked (rid, entity) with what is near the seeds: the best,
     over the ways there, of 1 / (1 + hops)."""
-    ways = both_ways(edges).select("entity", "other").distinct()
-    reached = edges.sparkSession.createDataFrame([(s, 0) for s in seeds], "entity string, hops int")
-    step = reached
-    for h in range(1, hops + 1):
-        step = step.join(ways, "entity").select(F.col("other").alias("entity"), F.lit(h).alias("hops")).distinct()
-        reached = reached.unionByName(step)
-    near = reached.groupBy("entity").agg(F.min("hops").alias("hops"))
+    near = edges.sparkSession.createDataFrame([(s, 0) for s in seeds], "entity string, hops int")
+    if hops:
+        # Both directions once, and each hop from what the one before reached first: no hop repeats another's work.
+        ways = cut(both_ways(edges).select("entity", "other"))
+        step = near
+        for h in range(1, hops + 1):
+            step = step.select("entity").join(ways, "entity").select(F.col("other").alias("entity")).distinct()
+            step = step.join(near.select("entity"), "entity", "left_anti").withColumn("hops", F.lit(h))
+            step = cut(step) if h < hops else step
+            near = near.unionByName(step)
     return links.join(near, "entity").groupBy("rid").agg((1.0 / (1.0 + F.min("hops"))).alias("graph_proximity"))
 
 
@@ -86,13 +91,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     Each depth is checkpointed, so the plan does not grow with the depth.
     """
-    from cairnmem.operators.cognition import _cut
-
     seen = seeds.select(F.col("entity").alias("seed"), "entity", F.lit(0).alias("depth"))
     step = seen
     for d in range(1, depth + 1):
         step = step.join(edges.select(F.col("src").alias("entity"), "dst"), "entity").select("seed", F.col("dst").alias("entity"), F.lit(d).alias("depth")).distinct()
-        step = _cut(step.join(seen, ["seed", "entity"], "left_anti"))
+        step = cut(step.join(seen, ["seed", "entity"], "left_anti"))
         if not step.limit(1).count():
             break
         seen = seen.unionByName(step)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnmem.functions import scoring
+from cairnmem.runtime import first_rows
 from cairnmem.schema import MEMORY_DEFAULTS, with_defaults
 
 SESSION_GAP = 30 * 60.0
@@ -69,12 +70,12 @@ def set_tier(memories: DataFrame, rids: DataFrame, tier: str) -> DataFrame:
 def evict(memories: DataFrame, now: float, most: int) -> DataFrame:
     """The weakest hot active memories, as many as there are over ``most``: rid, current_score.
 
-    As one sort with a limit, so no task ranks all memories.
+    By ranges of the score, so that no task ranks or holds all that go, however many they are.
     """
     left = scoring.decay(F.col("importance"), F.lit(now) - F.col("last_access"), F.col("half_life"))
     hot = memories.where("consolidation_status = 'active' and storage_tier = 'hot'").select("rid", left.alias("current_score"))
     over = max(0, hot.count() - most)
-    return hot.orderBy("current_score", "rid").limit(over)
+    return first_rows(hot, over, "current_score", "rid")
 
 
 def stats(memories: DataFrame, by: str = "namespace") -> DataFrame:

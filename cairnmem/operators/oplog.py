@@ -4,9 +4,12 @@ State is a fold whose result does not depend on the order of arrival: memories a
 registers keep what the largest (hlc, op_id) wrote, and a tombstone wins over everything.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of time in which lags are counted.
+LAG_BUCKETS = 4096
+
 
 def position(hlc: str = "hlc", op_id: str = "op_id") -> Column:
     return F.struct(hlc, op_id)
@@ -63,11 +66,26 @@ def newest(log: DataFrame, keep: int) -> DataFrame:
 
 
 def lag(log: DataFrame, peers: DataFrame) -> DataFrame:
-    """Of each peer (peer, hlc, op_id): how many operations it has yet to see."""
+    """Of each peer (peer, hlc, op_id) with any: how many operations it has yet to see.
+
+    Positions are cut into buckets of time: later buckets are counted, and only a peer's own is compared.
+    """
+    low, high = log.agg(F.min("hlc"), F.max("hlc")).first()
+    if low is None:
+        return peers.select("peer", F.lit(0).cast("long").alias("behind")).where("behind > 0")
+    width = (high - low) // LAG_BUCKETS + 1
+    bucket = F.greatest(F.lit(-1), F.least(F.lit(LAG_BUCKETS + 1), F.floor((F.col("hlc") - low) / width))).cast("long").alias("bucket")
+    ops = log.select("hlc", "op_id", bucket)
+    every = log.sparkSession.range(-1, LAG_BUCKETS + 2).withColumnRenamed("id", "bucket")
+    counts = every.join(ops.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "left")
+    # A window over LAG_BUCKETS rows, whatever the log.
+    later = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("bucket", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("later"))
+    marks = peers.select("peer", F.col("hlc").alias("at_hlc"), F.col("op_id").alias("at_op"), bucket)
     after = (F.col("hlc") > F.col("at_hlc")) | ((F.col("hlc") == F.col("at_hlc")) & (F.col("op_id") > F.col("at_op")))
-    marks = peers.select("peer", F.col("hlc").alias("at_hlc"), F.col("op_id").alias("at_op"))
-    # One row a peer: broadcast.
-    return log.select("hlc", "op_id").crossJoin(F.broadcast(marks)).where(after).groupBy("peer").agg(F.count("*").alias("behind"))
+    same = marks.join(ops, "bucket").where(after).groupBy("peer").agg(F.count("*").alias("same"))
+    behind = marks.join(counts, "bucket").join(same, "peer", "left")
+    return behind.select("peer", (F.col("later") + F.coalesce("same", F.lit(0))).alias("behind")).where("behind > 0")
 
 
 def backfill_embeddings(memories: DataFrame, embed: Column) -> DataFrame:

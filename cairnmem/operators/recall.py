@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnmem.functions import scoring, vectors
@@ -138,6 +138,7 @@ def recall_many(
 
     Queries are taken in blocks of ``QUERY_BLOCK``, each one pass over the memories; a batch of
     memories is scored against a block by one matrix product and sends its k best of each query on.
+    Memories whose vectors have another length than the queries' are not found.
     """
     df = visible(memories).where("embedding is not null").select("rid", "importance", "half_life", "created_at", "embedding")
     wanted = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
@@ -157,6 +158,7 @@ def _best_of_block(df: DataFrame, block: list[tuple[int, list[float]]], now: flo
     ids = np.array([b[0] for b in block], np.int64)
     q = np.array([b[1] for b in block])
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    df = df.where(F.size("embedding") == q.shape[1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,12 +170,15 @@ def _best_of_block(df: DataFrame, block: list[tuple[int, list[float]]], now: flo
             age = now - at
             base = w.sim * sim + w.decay * imp * np.exp2(-age / half) + w.recency * np.exp(-age / scoring.RECENCY_SECONDS)
             score = np.maximum(base * (1 + w.alpha_imp * imp / (1 + np.exp(-w.gate_k * (sim - w.gate_tau)))), 0.0)
-            rid = np.array(batch["rid"].to_pylist())
-            order = np.lexsort((np.broadcast_to(rid, score.shape), -score), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
+            least = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
+            rows, at = np.nonzero(score >= least[:, None])
+            rid, score = np.array(batch["rid"].to_pylist()), score[rows, at]
+            # Of the few that are left, ties of the last place included, the first k of each query.
+            order = np.lexsort((rid[at], -score, rows))
+            rows, at, score = rows[order], at[order], score[order]
+            own = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), pa.array(rid[order.ravel()].tolist(), pa.string()), pa.array(score[rows, order.ravel()])],
-                names=["query_id", "rid", "score"],
+                [pa.array(ids[rows[own]]), pa.array(rid[at[own]].tolist(), pa.string()), pa.array(score[own])], names=["query_id", "rid", "score"]
             )
 
     return df.mapInArrow(work, "query_id long, rid string, score double")
@@ -211,17 +216,44 @@ def reinforce(memories: DataFrame, hits: DataFrame, now: float, factor: float =
 
 def stems(text: Column) -> Column:
     """Distinct words of a text, in lower case, without a common English ending."""
-    found = F.filter(F.split(F.lower(text), "[^\\p{L}0-9]+"), lambda w: F.length(w) > 0)
-    return F.array_distinct(F.transform(found, lambda w: F.regexp_replace(w, "(ing|ed|es|s)$", "")))
+    # Endings go from the whole text at once: one expression, not one for each word.
+    short = F.regexp_replace(F.lower(text), r"(ing|ed|es|s)(?![\p{L}0-9])", "")
+    return F.array_distinct(F.filter(F.split(short, r"[^\p{L}0-9]+"), lambda w: F.length(w) > 0))
 
 
 def keyword_recall(texts: DataFrame, id_col: str, text_col: str, query: str, k: int = 10) -> DataFrame:
-    """(id, matched, score) of the k rows that hold most of a query's stems: an inverted index lookup."""
-    wanted = F.array_distinct(stems(F.lit(query)))
-    matched = F.size(F.array_intersect(stems(F.col(text_col)), wanted))
-    found = texts.select(F.col(id_col).alias("id"), matched.alias("matched")).where("matched > 0")
-    found = found.withColumn("score", KEYWORD_BOOST * F.col("matched") / F.size(wanted))
-    return found.orderBy(F.desc("score"), "id").limit(k)
+    """(id, matched, score) of the k rows that hold most of a query's stems, in one scan of all texts.
+
+    For many queries of one table, ``keyword_index`` reads the texts once.
+    """
+    wanted = stems(F.lit(query))
+    matched = F.size(F.array_intersect(stems(F.col(text_col)), wanted)).alias("matched")
+    # Rows without a match come last, so they can go after the limit; a filter before it would compute the stems twice.
+    best = texts.select(F.col(id_col).alias("id"), matched).orderBy(F.desc("matched"), "id").limit(k).where("matched > 0")
+    return best.withColumn("score", KEYWORD_BOOST * F.col("matched") / F.size(wanted))
+
+
+#: Folders over which the postings of stems are dealt.
+POSTING_PARTS = 64
+
+
+def keyword_index(texts: DataFrame, path: str, id_col: str, text_col: str, parts: int = POSTING_PARTS) -> None:
+    """Write an inverted index of texts: (stem, id), in folders by a hash of the stem and sorted by stem, so
+    that a lookup reads the folders, and within them the row groups, of its own stems."""
+    postings = texts.select(F.col(id_col).alias("id"), F.explode(stems(F.col(text_col))).alias("stem"))
+    postings = postings.withColumn("part", F.pmod(F.xxhash64("stem"), F.lit(parts)).cast("int"))
+    # Salted by id: a stem of every text is in as many files as the session has partitions.
+    postings.repartition("part", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("part", "stem").write.partitionBy("part").mode("overwrite").parquet(path)
+
+
+def keyword_lookup(spark: SparkSession, path: str, query: str, k: int = 10, parts: int = POSTING_PARTS) -> DataFrame:
+    """What ``keyword_recall`` finds, from the index."""
+    # One row, of the query's stems and their folders.
+    wanted = spark.range(1).select(F.explode(stems(F.lit(query))).alias("stem")).select("stem", F.pmod(F.xxhash64("stem"), F.lit(parts)).cast("int").alias("part"))
+    found = wanted.collect()
+    postings = spark.read.parquet(path).where(F.col("part").isin([r["part"] for r in found]) & F.col("stem").isin([r["stem"] for r in found]))
+    best = postings.groupBy("id").agg(F.count("*").cast("int").alias("matched")).orderBy(F.desc("matched"), "id").limit(k)
+    return best.withColumn("score", KEYWORD_BOOST * F.col("matched") / len(found))
 
 
 def evaluate(ranked: DataFrame, golden: DataFrame, k: int = 10) -> DataFrame:

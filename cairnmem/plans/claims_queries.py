@@ -62,8 +62,8 @@ def verdict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(given(CLAIMS, _PAIRS, body="SELECT src, count(*) AS n FROM polarity_pairs GROUP BY src ORDER BY n DESC, src LIMIT 20"))
 def contradictions_per_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = c.polarity_contradictions(tables.claims(spark, sf_dir))
-    return found.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(20)
+    found = c.contradiction_counts(tables.claims(spark, sf_dir))
+    return found.select("src", F.col("n_polarity").alias("n")).orderBy(F.desc("n"), "src").limit(20)
 
 
 @query(given(CLAIMS, body=f"SELECT claim_id, src, dst, polarity, extractor FROM claims WHERE valid_from <= {THEN} AND (valid_to IS NULL OR {THEN} < valid_to)"))

@@ -52,25 +52,10 @@ def run(out: DataFrame, path: str, checkpoint: str, mode: str = "append") -> Dat
 
 def apply_batches(operations: DataFrame, path: str, checkpoint: str, key: str = "op_id") -> None:
     """Append a stream of operations to a table of files, each operation once, whatever is delivered
-    again: each batch keeps what the table lacks, in a folder named for the batch, so that a batch that
-    runs twice writes the same folder."""
-    schema = operations.schema
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        others = [f"{path}/batch={n}" for n in range(number)]
-        new = batch.dropDuplicates([key])
-        known = [p for p in others if _exists(spark, p)]
-        if known:
-            new = new.join(spark.read.schema(schema).parquet(*known).select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    operations.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    again.  Known ids are state, dealt by hash and kept with the checkpoint, so that a batch costs what it
+    brings and earlier files are never read; the file sink commits a batch that runs twice once."""
+    once = operations.dropDuplicates([key])
+    once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 _FOLDED = "target string, importance double, n_writes bigint, last_hlc bigint, tombstoned boolean"
