@@ -161,7 +161,7 @@ def _pivots(mass: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-_CUT = {"token": pa.int64(), "row": pa.int64(), "size": pa.int64(), "pos": pa.int64(), "fragment": pa.int64(), "keys": pa.binary()}
+_CUT = {"token": pa.int64(), "row": pa.int64(), "size": pa.int64(), "pos": pa.int64(), "fragment": pa.int64(), "keys": pa.list_(pa.int64())}
 
 
 def _cut(blocks: DataFrame, percent: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
@@ -205,18 +205,17 @@ def _cut(blocks: DataFrame, percent: int, stage: Stage) -> tuple[DataFrame, Data
         lead = np.flatnonzero(pos < prefix[owner])
         fragment = np.searchsorted(pivots, place, side="right")
         edges = np.flatnonzero(np.diff(owner * FRAGMENTS + fragment, prepend=-1))
-        stops = np.append(edges[1:], len(keys))
         index = {"token": keys[lead].view(np.int64), "row": rows[owner[lead]], "size": sizes[owner[lead]], "pos": pos[lead]}
         segments = {
             "row": rows[owner[edges]], "size": sizes[owner[edges]], "fragment": fragment[edges].astype(np.int64),
-            "keys": [np.sort(keys[a:b]).tobytes() for a, b in zip(edges, stops, strict=True)],
+            "keys": pa.ListArray.from_arrays(pa.array(np.append(edges, len(keys)).astype(np.int32)), pa.array(keys.view(np.int64))),
         }
         return pa.concat_tables([
             pa.table({k: pa.array(t[k], kind) if k in t else pa.nulls(len(t["row"]), kind) for k, kind in _CUT.items()}) for t in (index, segments)
         ])
 
     found = blocks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        cut, "token long, row long, size long, pos long, fragment long, keys binary"
+        cut, "token long, row long, size long, pos long, fragment long, keys array<long>"
     )
     found = stage.write(found.withColumn("kind", F.when(F.col("fragment").isNull(), "index").otherwise("segment")), "cut", by="kind")
     stage.drop(replies)
@@ -233,16 +232,6 @@ def _can_link(percent: int, size: Column, pos: Column, size_2: Column, pos_2: Co
     )
 
 
-def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How many n-grams two segments have in common, row by row."""
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        both = np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")])
-        both.sort()
-        out.append(int((both[1:] == both[:-1]).sum()))
-    return pa.array(out, pa.int64())
-
-
 class _Join:
     """The rounds of candidates and their verification."""
 
@@ -270,7 +259,7 @@ class _Join:
         """Keep the entries of lists that hold more than one component; the others never open again."""
         entries = self.index.select("token", "row", "size", "pos").join(self.labels, "row")
         tokens = entries.groupBy("token").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("token")
-        self.index = self.stage.write(entries.join(tokens, "token", "left_semi"), "open")
+        self.index = self.stage.write(entries.join(tokens.hint("merge"), "token", "left_semi"), "open")
 
     def _open_pairs(self) -> float:
         """How many pairs of different components the lists hold."""
@@ -292,7 +281,8 @@ class _Join:
         lists = self.index.groupBy("token", F.pmod(deal, F.lit(leaders)).alias("part")).agg(lead)
         lists, lead = self.stage.write(lists.select("token", "lead"), "lists"), F.col("lead")
         fits = _can_link(self.percent, F.col("size"), F.col("pos"), lead["size"], lead["pos"])
-        votes = self.index.join(lists, "token").where((F.col("root") != lead["root"]) & fits).groupBy("row", lead["row"].alias("other"))
+        # As a merge of two exchanges, also where the leaders are few: that one is split where an n-gram is hot.
+        votes = self.index.join(lists.hint("merge"), "token").where((F.col("root") != lead["root"]) & fits).groupBy("row", lead["row"].alias("other"))
         votes = votes.agg(F.count("*").alias("votes"))
         votes = self._untested(votes.withColumns({"a": F.least("row", "other"), "b": F.greatest("row", "other")}))
         place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("votes"), "other"))
@@ -302,7 +292,7 @@ class _Join:
         """All pairs of different components that share a list and are not tested yet."""
         x, y = (self.index.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "pos", "root"))) for s in "ab")
         fits = _can_link(self.percent, F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b"))
-        pairs = x.join(y, "token").where((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+        pairs = x.join(y.hint("merge"), "token").where((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & fits)
         self._connect(self._untested(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()))
 
     def _connect(self, pairs: DataFrame) -> bool:
@@ -310,8 +300,8 @@ class _Join:
         one, two = (
             self.segments.select(F.col("row").alias(s), F.col("size").alias(f"size_{s}"), "fragment", F.col("keys").alias(f"keys_{s}")) for s in "ab"
         )
-        overlap = F.arrow_udf(_overlap, "long")
-        partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "size_a", "size_b", overlap("keys_a", "keys_b").alias("o"))
+        overlap = F.size(F.array_intersect("keys_a", "keys_b")).alias("o")
+        partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "size_a", "size_b", overlap)
         sums = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("o").alias("o"))
         links = self.stage.write(sums.where((100 + self.percent) * F.col("o") >= self.percent * (F.col("size_a") + F.col("size_b"))), "links")
         self.tested = self.tested.unionByName(pairs)
