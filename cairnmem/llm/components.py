@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cairnmem.llm.staging import Stage
 
+#: Far beyond the logarithm of any number of rows: a fault, not a limit.
 MAX_ROUNDS = 64
 
 
@@ -27,8 +28,8 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
         down = stage.write(edges.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most")), "down")
         forked = down.where("m < most").limit(1).count()
         if not forked and not down.join(down.select(F.col("m").alias("a")), "a", "left_semi").limit(1).count():
-            break
+            return down.select(F.col("a").alias("id"), F.col("m").alias("root"))
         ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
         small = edges.join(down, "a").select(ends.alias("e")).select("e.a", "e.b").where("a != b").distinct()
         edges = stage.write(small, "small")
-    return down.select(F.col("a").alias("id"), F.col("m").alias("root"))
+    raise RuntimeError(f"components are not settled after {MAX_ROUNDS} rounds")

@@ -2,13 +2,14 @@
 
 A document of n tokens is cut into pieces whose lengths are the binary digits of n, after as many
 pieces of the largest length as fit.  Each piece is a training sequence of its own, so no sequence
-crosses documents and none is padded; equal lengths share a bucket, from which batches are drawn.
+crosses documents and none is padded; equal lengths share a bucket, from which ``batches`` draws.
 
 The operator only maps: no shuffle, and a lost executor costs its own tasks.
 
 Nulls and ties: a null text counts as empty; every document has at least its end token.  A null
 doc_id is kept as null.  Repeated rows are packed each on their own.  An empty table gives no rows.
-Columns other than the two named ones are ignored.
+Columns other than the two named ones are ignored.  A very long text is cut into as many pieces of the
+largest length as it fills; its ids must fit in a task.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnmem.llm import tokens
-from cairnmem.llm.staging import prepare
+from cairnmem.llm.staging import partitions, prepare
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -92,4 +93,19 @@ def pack(
     return out if with_ids else out.drop("ids")
 
 
+def batches(packed: DataFrame, tokens_per_batch: int, seed: int = 0) -> DataFrame:
+    """Sequences of ``pack`` in batches of one bucket each, with a ``batch_id``: every batch has
+    tokens_per_batch tokens, but for the last ones of each task and bucket.
+
+    Sequences are dealt to tasks by hash, so no task has a whole bucket, and a batch is a run of neighbours.
+    """
+    deal = F.xxhash64("sequence_id", F.lit(seed))
+    parts = partitions(packed.sparkSession)
+    dealt = packed.withColumn("_part", F.pmod(deal, F.lit(parts)))
+    nth = F.row_number().over(Window.partitionBy("_part", "bucket").orderBy(deal, "sequence_id")) - 1
+    rows = F.greatest(F.lit(1), F.floor(F.lit(tokens_per_batch) / F.col("length")))
+    number = F.concat_ws("-", "bucket", "_part", F.floor(nth / rows).cast("long"))
+    return dealt.withColumn("batch_id", number).drop("_part")
+
+
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "ids"]

@@ -17,7 +17,8 @@ is the share of 1 among the labels, or 1 without any.
 Nulls and ties: a null text counts as empty, and empty texts are scored like any other.  Repeated
 rows get equal scores; a null doc_id stays null and counts as not held out.  An empty table gives no
 rows.  Language, source and doc_id are never inputs.  Other columns are ignored, or kept by
-``keep_good``.
+``keep_good``.  Very long texts are read whole; a text that is longer than a chunk is one of its own.  Raw
+scores outside [-0.5, 1.5] fall in the outermost bin of the calibration.
 """
 
 from collections.abc import Iterator
@@ -195,7 +196,7 @@ def _summed(df: DataFrame, part) -> np.ndarray | None:
 
 
 def fit(x: DataFrame, labels: DataFrame, stage: Stage, id_col: str = "doc_id", label_col: str = "quality") -> Model:
-    """Fit a model from staged statistics x (doc_id, x) and labels."""
+    """Fit a model from staged statistics x (doc_id, x) and labels (id_col, label_col)."""
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(
         (F.col("y") == 0) | (F.col("y") == 1)
     )
@@ -245,10 +246,10 @@ def _binned(model: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document; labels name documents by id_col, too."""
     stage = Stage(docs.sparkSession, "quality")
     x = stage.write(_statistics(docs, id_col, text_col), "statistics")
-    held = docs.sparkSession.sparkContext.broadcast(fit(x, labels, stage, label_col=label_col))
+    held = docs.sparkSession.sparkContext.broadcast(fit(x, labels, stage, id_col, label_col))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +272,7 @@ def keep_good(
     stage = Stage(docs.sparkSession, "quality")
     # Statistics of all documents, not of labelled ones: a join that picks those would shuffle the texts.
     x = stage.write(_statistics(docs, id_col, text_col), "statistics")
-    held = docs.sparkSession.sparkContext.broadcast(fit(x, labels, stage, label_col=label_col))
+    held = docs.sparkSession.sparkContext.broadcast(fit(x, labels, stage, id_col, label_col))
     return docs.where(_score(held)(F.col(f"`{text_col}`").cast("string")) >= threshold)
 
 

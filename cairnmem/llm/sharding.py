@@ -19,7 +19,7 @@ or with a broadcast of the groups that are placed one by one, at most ``HEAVY``
 
 Nulls and ties: a null text has size 1 and is linked with empty texts.  doc_id is only carried along:
 it may be null or repeated.  Ties are broken by a hash of group and shard.  An empty table gives an
-empty result.  Other columns are ignored.
+empty result.  Other columns are ignored.  A very long text is only hashed and measured, and never moved.
 """
 
 from pyspark.sql import Column, DataFrame, Window

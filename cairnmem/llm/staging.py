@@ -58,13 +58,25 @@ def prepare(spark: SparkSession) -> None:
 
 
 class Stage:
-    """The staged tables of one run of an operator."""
+    """The staged tables of one run of an operator.
+
+    Results read them, so they last as long as the driver; Hadoop deletes the folder when it ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/cairnmem-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        files, path = self._files(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, path: str):
+        """The file system of a path, and the path."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
     def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Write df and return it as read back, with the same schema."""
@@ -79,10 +91,9 @@ class Stage:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete staged tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._cairnmem_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            files, path = self._files(t._cairnmem_path)
+            files.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
