@@ -68,13 +68,16 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/cairnmem-{name}-{uuid.uuid4().hex}"
         self._n = 0
-        files, path = self._files(self.root)
+        files, path = self.files(spark, self.root)
         files.mkdirs(path)
         files.deleteOnExit(path)
+        #: The folder with the scheme of its store.
+        self.qualified = files.makeQualified(path).toString()
 
-    def _files(self, path: str):
+    @staticmethod
+    def files(spark: SparkSession, path: str):
         """The file system of a path, and the path."""
-        sc = self.spark.sparkContext
+        sc = spark.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(path)
         return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
@@ -92,7 +95,7 @@ class Stage:
     def drop(self, *tables: DataFrame) -> None:
         """Delete staged tables that nothing reads any more."""
         for t in tables:
-            files, path = self._files(t._cairnmem_path)
+            files, path = self.files(self.spark, t._cairnmem_path)
             files.delete(path, True)
 
 

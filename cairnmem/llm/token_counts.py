@@ -8,7 +8,11 @@ scanned in one task: runs of blocks first, then the totals of the runs.
 
 Nulls and ties: a null text is an empty document of no tokens.  Tokens after a file's last separator
 are a document that has not ended (``ended`` false).  Repeated rows are documents of their own, a
-null doc_id stays null, and an empty table or file gives no rows.
+null doc_id stays null, and an empty table or file gives no rows.  A very long document spans as many
+blocks as it needs.
+
+``document_token_counts`` writes real flat files (in a store that pyarrow opens, else a table of blocks) and
+finds the documents again by scanning their bytes.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ def token_files(
     text_col: str = "text",
     ranks_path: str | None = None,
 ) -> DataFrame:
-    """Flat token files of docs, as blocks: file, block, data, and the order in which docs went in.
+    """Flat token files of docs, as blocks: file, block, data, and the order in which docs went in; for
+    stores that only Spark writes to.
 
     A task writes one file.  ``data`` holds ids only.  ``doc_ids`` and ``first`` are the manifest: the
     documents begun in this block, and how many of the file came before; no position is kept.
@@ -86,6 +91,50 @@ NAMES = ["file", "block", "data", "first", "doc_ids"]
 TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
 
+def write_token_files(
+    docs: DataFrame, root: str, end_id: int = 50256, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text",
+    ranks_path: str | None = None,
+) -> DataFrame:
+    """Write docs as flat token files under a folder of a store that pyarrow opens; running the result
+    (name, first, doc_ids), the manifest, writes them.
+
+    A task writes one file of ids and separators alone, under another name until it is whole; a task that
+    runs again writes the same file again.  The manifest tells which documents went in, in which order.
+    """
+    prepare(docs.sparkSession)
+    if end_id >= 1 << 8 * np.dtype(dtype).itemsize:
+        raise ValueError("end_id does not fit the ids' type")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyspark import TaskContext
+
+        store, folder = _store(root)
+        name, hidden, first = f"part-{TaskContext.get().partitionId():06d}.bin", f".{uuid.uuid4().hex}", 0
+        store.create_dir(folder)
+        rows: list[tuple[str, int, list[int | None]]] = []
+        with store.open_output_stream(f"{folder}/{hidden}") as out:
+            for batch in batches:
+                for text in batch.column(1).to_pylist():
+                    out.write(np.append(tokens.encode(text, ranks_path, special=False), np.uint32(end_id)).astype(dtype).tobytes())
+                rows.append((name, first, batch.column(0).to_pylist()))
+                first += batch.num_rows
+        if not first:
+            store.delete_file(f"{folder}/{hidden}")
+            return
+        store.move(f"{folder}/{hidden}", f"{folder}/{name}")
+        for row in rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["name", "first", "doc_ids"]
+            )
+
+    files, path = Stage.files(docs.sparkSession, root)
+    files.mkdirs(path)
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return thin.mapInArrow(work, "name string, first long, doc_ids array<long>")
+
+
 def read_token_files(spark, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u2") -> DataFrame:
     """Blocks (file, block, data) of the flat token files under a path.
 
@@ -118,10 +167,14 @@ def read_token_files(spark, path: str, block_tokens: int = BLOCK_TOKENS, dtype:
 RANGED = ("file", "hdfs", "s3", "gs")
 
 
-def _opened(name: str) -> pa.NativeFile:
+def _store(name: str) -> tuple[pa.fs.FileSystem, str]:
     if name.startswith("file:"):
-        return pa.OSFile("/" + name.removeprefix("file:").lstrip("/"))
-    store, path = pa.fs.FileSystem.from_uri(name)
+        return pa.fs.LocalFileSystem(), "/" + name.removeprefix("file:").lstrip("/")
+    return pa.fs.FileSystem.from_uri(name)
+
+
+def _opened(name: str) -> pa.NativeFile:
+    store, path = _store(name)
     return store.open_input_file(path)
 
 
@@ -142,18 +195,18 @@ def count_tokens(blocks: DataFrame, end_id: int = 50256, dtype: str = "<u2", sta
 
     stage = stage or Stage(blocks.sparkSession, "token-counts")
     found = stage.write(blocks.select("file", "block", "data").mapInArrow(scan, "file long, block long, n long, ends array<int>"), "blocks")
-    run = F.expr(f"block div {RUN_BLOCKS}")
+    # The scan's windows see a thin row of each block; its separators are joined after.
+    thin = found.select("file", "block", "n", F.size("ends").alias("k"), (F.get("ends", F.size("ends") - 1) + 1).alias("begins"))
     before = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.col("at") + F.element_at("ends", -1) + 1
     inner = (
-        found.withColumn("run", run)
+        thin.withColumn("run", F.expr(f"block div {RUN_BLOCKS}"))
         .withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("nth", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-        .withColumn("stop", F.when(F.size("ends") > 0, last))
+        .withColumn("nth", F.coalesce(F.sum("k").over(before), F.lit(0)))
+        .withColumn("stop", F.col("at") + F.col("begins"))
         .withColumn("open", F.max("stop").over(before))
     )
     of_file = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = inner.groupBy("file", "run").agg(F.sum("n").alias("n"), F.sum(F.size("ends")).alias("k"), F.max("stop").alias("stop"))
+    runs = inner.groupBy("file", "run").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.max("stop").alias("stop"))
     runs = (
         runs.withColumn("run_at", F.coalesce(F.sum("n").over(of_file), F.lit(0)))
         .withColumn("run_nth", F.coalesce(F.sum("k").over(of_file), F.lit(0)))
@@ -163,25 +216,27 @@ def count_tokens(blocks: DataFrame, end_id: int = 50256, dtype: str = "<u2", sta
     )
     placed = inner.join(runs, ["file", "run"]).select(
         "file",
+        "block",
         (F.col("run_at") + F.col("at")).alias("at"),
         (F.col("run_nth") + F.col("nth")).alias("nth"),
         F.coalesce(F.col("run_at") + F.col("open"), "run_open").alias("open"),
         "n",
-        "ends",
+        "k",
+        "begins",
         (F.col("is_last") & F.lead("block").over(Window.partitionBy("file", "run").orderBy("block")).isNull()).alias("is_last"),
     )
-    ended = placed.select("file", "at", "nth", "open", "ends", F.posexplode("ends").alias("j", "e")).select(
+    held = found.where(F.size("ends") > 0).select("file", "block", "ends")
+    ended = placed.join(held, ["file", "block"]).select("file", "at", "nth", "open", "ends", F.posexplode("ends").alias("j", "e")).select(
         "file",
         (F.col("nth") + F.col("j")).alias("ordinal"),
         F.when(F.col("j") == 0, F.col("open")).otherwise(F.col("at") + F.get("ends", F.col("j") - 1) + 1).alias("start"),
         (F.col("at") + F.col("e")).alias("stop"),
         F.lit(True).alias("ended"),
     )
-    begins = F.when(F.size("ends") > 0, F.col("at") + F.element_at("ends", -1) + 1).otherwise(F.col("open"))
     rest = placed.where("is_last").select(
         "file",
-        (F.col("nth") + F.size("ends")).alias("ordinal"),
-        begins.alias("start"),
+        (F.col("nth") + F.col("k")).alias("ordinal"),
+        F.coalesce(F.col("at") + F.col("begins"), "open").alias("start"),
         (F.col("at") + F.col("n")).alias("stop"),
         F.lit(False).alias("ended"),
     )
@@ -190,12 +245,18 @@ def count_tokens(blocks: DataFrame, end_id: int = 50256, dtype: str = "<u2", sta
     )
 
 
-def document_token_counts(docs: DataFrame, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_token_counts(docs: DataFrame, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> DataFrame:
     """Write docs as flat token files, scan them, and name the documents by the manifest."""
     stage = Stage(docs.sparkSession, "token-files")
-    files = stage.write(token_files(docs, end_id, id_col=id_col, text_col=text_col), "files")
-    manifest = files.select("file", "first", F.posexplode("doc_ids").alias("j", "doc_id")).select(
+    root = f"{stage.qualified}/flat"
+    if root.split(":")[0] in RANGED:
+        manifest = stage.write(write_token_files(docs, root, end_id, dtype, id_col, text_col), "manifest")
+        names = docs.sparkSession.read.format("binaryFile").load(root).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.xxhash64("path").alias("file"))
+        manifest, blocks = manifest.join(names, "name"), read_token_files(docs.sparkSession, root, dtype=dtype)
+    else:
+        manifest = blocks = stage.write(token_files(docs, end_id, dtype=dtype, id_col=id_col, text_col=text_col), "files")
+    manifest = manifest.select("file", "first", F.posexplode("doc_ids").alias("j", "doc_id")).select(
         "file", (F.col("first") + F.col("j")).alias("ordinal"), "doc_id"
     )
-    counts = count_tokens(files, end_id, stage=stage)
+    counts = count_tokens(blocks, end_id, dtype, stage)
     return manifest.join(counts, ["file", "ordinal"], "left").select("doc_id", "n_tokens", "file", "ordinal", "start", "ended")

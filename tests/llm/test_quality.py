@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairnmem.llm import quality
@@ -42,6 +43,35 @@ def test_isotonic():
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [0, 1.5, 3]
 
 
+def test_against_brute_force(spark, sf_dir, documents, texts):
+    """The whole model in plain numpy: one matrix of all rows, and isotonic values as the largest of the
+    least means over all runs around a place."""
+    x = {i: quality.statistics(pa.array([t]))[0].astype(float) for i, t in texts}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["doc_id"] in x and r["quality"] in (0, 1)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    fitting, holding = ([(x[i], y) for i, y in labels if fold(i) in folds] for folds in ((1, 2, 3), (4,)))
+    rows, d = np.array([v for v, _ in fitting]), len(x[texts[0][0]])
+    mean, scale = rows.mean(axis=0), np.sqrt(np.maximum((rows**2).mean(axis=0) - rows.mean(axis=0) ** 2, 1e-6))
+    rng = np.random.default_rng(quality.SEED)
+    directions, phases = rng.normal(size=(d, quality.FEATURES)) / np.sqrt(d), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    features = lambda v: np.append(1.0, np.cos(np.clip((v - mean) / scale, -8, 8) @ directions + phases) * np.sqrt(2 / quality.FEATURES))
+    z, y = np.array([features(v) for v in rows]), np.array([y for _, y in fitting], float)
+    penalty = np.full(quality.FEATURES + 1, np.sqrt(quality.RIDGE * len(y) / quality.FEATURES))
+    penalty[0] = np.sqrt(1e-9)
+    w = np.linalg.lstsq(np.vstack([z, np.diag(penalty)]), np.append(y, np.zeros(len(penalty))), rcond=None)[0]
+    bins = sorted((int(np.clip((features(v) @ w + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1)), y) for v, y in holding)
+    n = len(bins)
+    means = np.array([[np.mean([y for _, y in bins[a : b + 1]]) if b >= a else np.nan for b in range(n)] for a in range(n)])
+    first, last = ([k(j for j in range(n) if bins[j][0] == bins[i][0]) for i in range(n)] for k in (min, max))
+    fitted = [max(min(means[a][b] for b in range(last[i], n) if last[b] == b) for a in range(i + 1) if first[a] == a) for i in range(n)]
+    pools = sorted({round(f, 9) for f in fitted})
+    knots = [np.mean([(b + 0.5) / quality.BINS * 2 - 0.5 for (b, _), f in zip(bins, fitted, strict=True) if round(f, 9) == p]) for p in pools]
+    values = (np.array(pools) * n + 0.5 * np.mean(pools)) / (n + 0.5)
+    found = {r["doc_id"]: r["score"] for r in quality.scores(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    for i, v in x.items():
+        assert found[i] == pytest.approx(np.interp(features(v) @ w, knots, values), abs=1e-4)
+
+
 def test_odd_rows_and_labels(spark, odd, empty):
     some = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1), (99, 1), (3, None), (7, 1), (8, 0), (9, 0), (11, 1)], "doc_id bigint, quality int")
     rows = quality.scores(odd, some).collect()

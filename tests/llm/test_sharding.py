@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import pytest
 
@@ -66,6 +67,24 @@ def test_one_group_of_all_rows_fills_the_shards(spark):
     assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 100
 
 
+@pytest.mark.parametrize("sizes", [[3, 3, 1, 1], [4, 2, 2, 1, 1], [2, 2, 2, 2]])
+def test_against_all_ways_to_deal(spark, sizes):
+    """Groups of equal texts in two shards: as few split, and as even, as the best of all ways to deal the rows."""
+    texts = [(10 * g + i, f"group {g} text") for g, n in enumerate(sizes) for i in range(n)]
+    size, group = len(texts[0][1]) + 1, [i // 10 for i, _ in texts]
+
+    def cost(shards):
+        of = defaultdict(set)
+        for g, s in zip(group, shards, strict=True):
+            of[g].add(s)
+        return abs(2 * sum(shards) - len(shards)) * size, sum(len(s) > 1 for s in of.values())
+
+    best = min(cost(s) for s in product((0, 1), repeat=len(texts)))
+    rows = {r["doc_id"]: r["shard"] for r in sharding.shard(spark.createDataFrame(texts, "doc_id bigint, text string"), shards=2).collect()}
+    uneven, split = cost([rows[i] for i, _ in texts])
+    assert best[1] == 0 and split == 0 and uneven <= best[0] + 2 * size
+
+
 def test_odd_rows(odd):
     check(sharding.shard(odd).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()])
 
