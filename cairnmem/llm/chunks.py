@@ -211,6 +211,12 @@ def cell_schema(notes: int) -> str:
     return "bucket long, chunk long, keys binary" + "".join(f", note{i} binary" for i in range(notes))
 
 
+def no_cells(notes: int) -> pa.Table:
+    """What a chunk without keys sends, as a table."""
+    names = _cell_names(notes)
+    return pa.table([pa.array([], pa.int64() if i < 2 else pa.binary()) for i in range(len(names))], names=names)
+
+
 def _read(table: pa.Table, notes: list[str], rest: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of some cells: how many keys each has, all keys, and the notes on them."""
     parts = [unpack_keys(k, rest) for k in table["keys"].to_pylist()]

@@ -11,8 +11,10 @@ Each level asks the buckets of ``chunks`` which keys occur elsewhere.  A chunk s
 window once, noted if the chunk itself holds it twice, so a passage in a third of all documents is
 one entry a chunk.  Levels after the first carry places and hashes of the surviving windows only.
 
-Windows are equal where a 64-bit and a further, independent 32-bit hash of their words are: among w
-windows some w**2 / 2**97 accidental pairs, 0.003 for the 2e13 windows of 100 TB.
+On the way up windows are compared by 64-bit hashes, where two unlike ones that agree only stay candidates.
+At ``min_words`` the candidates are hashed anew from their words, and are equal where 64 bits and an independent
+32 bits are: among w windows some w**2 / 2**97 accidental pairs, 0.003 for the 2e13 windows of 100 TB.
+Levels beyond, which decide nothing but ``longest``, use 64 bits again.
 
 Nulls and ties: all copies of a repeated window are removed, the first too.  A null text has no
 words; a text shorter than a window keeps all of its words.  Repeated rows remove each other.  A null
@@ -49,62 +51,57 @@ def levels(min_words: int) -> list[int]:
     return out
 
 
-def _sent(number: int, keys: np.ndarray, checks: np.ndarray, how: chunks.Plan) -> Iterator[pa.RecordBatch]:
+def _sent(number: int, keys: np.ndarray, checks: np.ndarray | None, how: chunks.Plan) -> Iterator[pa.RecordBatch]:
     group, first = words.ranked(keys, checks)
-    return chunks.cells(number, keys[first], [checks[first], np.bincount(group, minlength=len(first)) > 1], how.sent, how.rest)
+    notes = [np.bincount(group, minlength=len(first)) > 1]
+    return chunks.cells(number, keys[first], notes if checks is None else [checks[first], *notes], how.sent, how.rest)
 
 
-def _repeated(keys: np.ndarray, checks: np.ndarray, replies: pa.Table) -> np.ndarray:
+def _repeated(keys: np.ndarray, checks: np.ndarray | None, replies: pa.Table) -> np.ndarray:
     """Which of a chunk's keys occur elsewhere."""
     return chunks.reply(replies, "bool")[words.ranked(keys, checks)[0]] if len(keys) else np.empty(0, bool)
 
 
-_TYPES = {
-    "chunk": pa.int64(), "length": pa.int64(), "n": pa.int64(), "counts": pa.binary(), "places": pa.binary(), "keys": pa.binary(),
-    "checks": pa.binary(),
-}
-_OUT = "chunk long, length long, n long, counts binary, places binary, keys binary, checks binary"
+_TYPES = {"kind": pa.string(), "chunk": pa.int64(), "length": pa.int64(), "n": pa.int64(), "counts": pa.binary(), "places": pa.binary(), "keys": pa.binary()}
+_OUT = "kind string, chunk long, length long, n long, counts binary, places binary, keys binary"
 
 
 def _rows(rows: list[dict]) -> pa.Table:
     return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in _TYPES.items()})
 
 
-def _passed(
-    number: int, counts: np.ndarray, places: np.ndarray, keys: np.ndarray, checks: np.ndarray, length: int, longer: int, min_words: int
-) -> pa.Table:
-    """What is known after a level: candidates of the next, and (without keys) what was found: the
-    repeated windows at min_words, the documents that have any beyond."""
+def _packed(places: np.ndarray) -> bytes:
+    return chunks.squeeze(np.diff(places, prepend=0).astype("<i8"))
+
+
+def _places(data: bytes) -> np.ndarray:
+    return np.cumsum(chunks.unsqueeze(data, "<i8"))
+
+
+def _passed(number: int, counts: np.ndarray, places: np.ndarray, keys: np.ndarray, length: int, longer: int, min_words: int) -> pa.Table:
+    """What is known after a level: candidates of the next (with keys, unless those are made anew), and what was
+    found: the repeated windows at min_words, the documents that have any beyond."""
     rows = []
     owner = np.searchsorted(np.cumsum(counts), places, side="right")
     if length >= min_words and len(places):
         what = places if length == min_words else words.distinct(owner)
-        rows.append({"chunk": number, "length": length, "n": len(what), "places": chunks.squeeze(np.diff(what, prepend=0).astype("<i8"))})
+        rows.append({"kind": "found", "chunk": number, "length": length, "n": len(what), "places": _packed(what)})
     step = longer - length
     after = np.minimum(np.searchsorted(places, places + step), max(len(places) - 1, 0))
     both = np.flatnonzero(places[after] == places + step)
     both = both[places[both] + longer <= np.cumsum(counts)[owner[both]]]
     if len(both):
-        rows.append(
-            {
-                "chunk": number, "length": longer, "n": len(both), "counts": chunks.squeeze(counts.astype("<i8")),
-                "places": chunks.squeeze(np.diff(places[both], prepend=0).astype("<i8")),
-                "keys": words.mix(keys[both], keys[after[both]]).astype("<u8").tobytes(),
-                "checks": _low(words.mix(checks[both].astype(np.uint64), checks[after[both]].astype(np.uint64))).tobytes(),
-            }
-        )
+        row = {"kind": "level", "chunk": number, "length": longer, "n": len(both), "places": _packed(places[both])}
+        if longer != min_words:
+            row |= {"counts": chunks.squeeze(counts.astype("<i8")), "keys": words.mix(keys[both], keys[after[both]]).astype("<u8").tobytes()}
+        rows.append(row)
     return _rows(rows)
 
 
-def _low(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(0xFFFFFFFF)).astype("<u4")
-
-
-def _windows(c: chunks.Chunk, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where windows of n words start, their keys and their checks."""
-    at = words.starts(c.counts, n)
+def _keys(c: chunks.Chunk, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and checks of the windows of n words at some places."""
     a, b = c.halves()
-    return at, words.windows(a, n)[at], _low(words.windows(b, n)[at])
+    return words.windows(a, n)[at], (words.windows(b, n)[at] & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
 def remove_repeats(
@@ -117,27 +114,28 @@ def remove_repeats(
     stage = Stage(docs.sparkSession, "substring-dedup")
     corpus = chunks.tokenised(docs, stage, lower=False, id_col=id_col, text_col=text_col)
     up = levels(min_words)
-    how = chunks.plan(corpus, exact=True, fan_in=fan_in)
-    first, second = up[0], up[1] if len(up) > 1 else 2 * min_words
-
-    def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                c = chunks.Chunk.of(pa.table(batch.slice(i, 1)))
-                yield from _sent(c.number, *_windows(c, first)[1:], how)
-
-    def first_level(left: pa.Table, replies: pa.Table) -> pa.Table:
-        c = chunks.Chunk.of(left)
-        at, keys, checks = _windows(c, first)
-        hit = _repeated(keys, checks, replies)
-        return _passed(c.number, c.counts, at[hit], keys[hit], checks[hit], first, second, min_words)
+    found, level, length = None, None, up[0]
+    while level is None or level.limit(1).count():
+        longer = up[up.index(length) + 1] if length < min_words else 2 * length
+        if length == min_words:
+            passed = _decide(corpus, level, min_words, stage, fan_in)
+        elif level is None:
+            passed = _first(corpus, length, longer, min_words, stage, fan_in)
+        else:
+            passed = _extend(level, length, longer, min_words, stage, fan_in)
+        passed = stage.write(passed, "level", by="kind")
+        if level is not None:
+            stage.drop(level)
+        level, more = (passed.where(F.col("kind") == kind).drop("kind") for kind in ("level", "found"))
+        level._cairnmem_path = f"{passed._cairnmem_path}/kind=level"
+        found, length = more if found is None else found.unionByName(more), longer
 
     def kept(left: pa.Table, found: pa.Table) -> pa.Table:
         c = chunks.Chunk.of(left)
         edges, longest = np.zeros(len(c.ids) + 1, np.int32), np.zeros(len(c.counts), np.int64)
         owner = c.owners()
         for r in found.select(["length", "places"]).sort_by("length").to_pylist():
-            places = np.cumsum(chunks.unsqueeze(r["places"], "<i8"))
+            places = _places(r["places"])
             if r["length"] == min_words:
                 np.add.at(edges, places, 1)
                 np.add.at(edges, places + min_words, -1)
@@ -155,43 +153,80 @@ def remove_repeats(
             }
         )
 
-    replies = chunks.ask(corpus.mapInArrow(first_keys, chunks.cell_schema(2)), how, chunks.shared(checked=True), stage)
-    level, one = _staged(corpus.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(first_level, _OUT), stage)
-    stage.drop(replies)
-    found, length = one, second
-    while level.limit(1).count():
-        longer = up[up.index(length) + 1] if length < min_words else 2 * length
-        level, more = _next(level, length, longer, min_words, stage, fan_in)
-        found, length = found.unionByName(more), longer
     out = corpus.groupBy("chunk").cogroup(found.select("chunk", "length", "places").groupBy("chunk")).applyInArrow(kept, _DOC)
     return out.select("doc_id", "text", "n_words", "n_removed", "kept_sha256", "longest")
 
 
-def _staged(passed: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """Candidates of the next level, and what was found."""
-    passed = passed.withColumn("kind", F.when(F.col("keys").isNull(), "found").otherwise("level"))
-    passed = stage.write(passed, "level", by="kind")
-    return passed.where("kind = 'level'").drop("kind"), passed.where("kind = 'found'").drop("kind")
+def _first(corpus: DataFrame, length: int, longer: int, min_words: int, stage: Stage, fan_in: int | None) -> DataFrame:
+    """The first level, of all windows."""
+    how = chunks.plan(corpus, exact=True, fan_in=fan_in)
+
+    def windows(c: chunks.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        at = words.starts(c.counts, length)
+        return at, words.windows(c.hashes(), length)[at]
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c = chunks.Chunk.of(pa.table(batch.slice(i, 1)))
+                yield from _sent(c.number, windows(c)[1], None, how)
 
-def _next(level: DataFrame, length: int, longer: int, min_words: int, stage: Stage, fan_in: int | None) -> tuple[DataFrame, DataFrame]:
-    """Candidates of the next level, and what was found at this one."""
+    def hear(left: pa.Table, replies: pa.Table) -> pa.Table:
+        c = chunks.Chunk.of(left)
+        at, keys = windows(c)
+        hit = _repeated(keys, None, replies)
+        return _passed(c.number, c.counts, at[hit], keys[hit], length, longer, min_words)
+
+    replies = chunks.ask(corpus.mapInArrow(ask, chunks.cell_schema(1)), how, chunks.shared(), stage)
+    return corpus.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(hear, _OUT)
+
+
+def _extend(level: DataFrame, length: int, longer: int, min_words: int, stage: Stage, fan_in: int | None) -> DataFrame:
+    """A further level, of candidates that carry their keys."""
     how = chunks.plan(level, "n", exact=True, fan_in=fan_in)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                yield from _sent(number, np.frombuffer(k, "<u8"), np.frombuffer(c, "<u4"), how)
+            for number, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from _sent(number, np.frombuffer(keys, "<u8"), None, how)
 
-    def extend(left: pa.Table, replies: pa.Table) -> pa.Table:
+    def hear(left: pa.Table, replies: pa.Table) -> pa.Table:
         row = left.slice(0, 1).to_pylist()[0]
-        counts, places = chunks.unsqueeze(row["counts"], "<i8"), np.cumsum(chunks.unsqueeze(row["places"], "<i8"))
-        k, c = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["checks"], "<u4")
-        hit = _repeated(k, c, replies)
-        return _passed(row["chunk"], counts, places[hit], k[hit], c[hit], length, longer, min_words)
-
-    asked = level.select("chunk", "keys", "checks").mapInArrow(keys, chunks.cell_schema(2))
-    replies = chunks.ask(asked, how, chunks.shared(checked=True), stage)
-    out = _staged(level.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(extend, _OUT), stage)
-    stage.drop(replies)
-    return out
+        keys, places = np.frombuffer(row["keys"], "<u8"), _places(row["places"])
+        hit = _repeated(keys, None, replies)
+        return _passed(row["chunk"], chunks.unsqueeze(row["counts"], "<i8"), places[hit], keys[hit], length, longer, min_words)
+
+    replies = chunks.ask(level.select("chunk", "keys").mapInArrow(ask, chunks.cell_schema(1)), how, chunks.shared(), stage)
+    return level.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(hear, _OUT)
+
+
+def _decide(corpus: DataFrame, level: DataFrame | None, length: int, stage: Stage, fan_in: int | None) -> DataFrame:
+    """The level that decides, of candidates (None: all windows) hashed anew from their words."""
+    every = level is None
+    if every:
+        marks = corpus.select("chunk", F.lit(None).cast("binary").alias("places"))
+        how = chunks.plan(corpus, exact=True, fan_in=fan_in)
+    else:
+        marks = level.select("chunk", "places")
+        how = chunks.plan(level, "n", exact=True, fan_in=fan_in)
+
+    def windows(c: chunks.Chunk, marks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        marks = [m for m in marks.to_pylist() if m["n"] is None]
+        at = words.starts(c.counts, length) if every else _places(marks[0]["places"]) if marks else np.empty(0, np.int64)
+        return at, *(_keys(c, length, at) if len(at) else (np.empty(0, "<u8"), np.empty(0, "<u4")))
+
+    def ask(left: pa.Table, marks: pa.Table) -> pa.Table:
+        c = chunks.Chunk.of(left)
+        sent = list(_sent(c.number, *windows(c, marks.append_column("n", pa.nulls(len(marks), pa.int64())))[1:], how))
+        return pa.Table.from_batches(sent) if sent else chunks.no_cells(2)
+
+    def hear(left: pa.Table, both: pa.Table) -> pa.Table:
+        c = chunks.Chunk.of(left)
+        at, keys, checks = windows(c, both)
+        hit = _repeated(keys, checks, both.filter(pc.is_valid(both["n"])))
+        return _passed(c.number, c.counts, at[hit], keys[hit], length, 2 * length, length)
+
+    sent = corpus.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(ask, chunks.cell_schema(2))
+    replies = chunks.ask(sent, how, chunks.shared(checked=True), stage)
+    both = replies.select("chunk", "bucket", "n", "reply0").unionByName(marks, allowMissingColumns=True)
+    return corpus.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(hear, _OUT)

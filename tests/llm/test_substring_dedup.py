@@ -47,9 +47,9 @@ def test_against_brute_force(documents, texts, n):
 def test_keys_of_one_bucket_that_differ_in_any_bit_are_not_shared(spark, n):
     keys = np.array([0x0123456789ABCDEF ^ (1 << bit) for bit in range(64)] + [0x0123456789ABCDEF], np.uint64)
     how = chunks.Plan(n, n, 1, chunks.whole(n))
-    sent = [b for i, k in enumerate(keys) for b in substring_dedup._sent(i, keys[i : i + 1], np.zeros(1, "<u4"), how)]
+    sent = [b for i, k in enumerate(keys) for b in substring_dedup._sent(i, keys[i : i + 1], None, how)]
     df = spark.createDataFrame(pa.Table.from_batches(sent).to_pandas())
-    found = chunks.ask(df, how, chunks.shared(checked=True), Stage(spark, "test")).collect()
+    found = chunks.ask(df, how, chunks.shared(), Stage(spark, "test")).collect()
     assert len(found) == 65 and not any(chunks._unnote(r["reply0"], 1, "bool")[0] for r in found)
 
 
