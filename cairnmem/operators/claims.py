@@ -243,10 +243,32 @@ def claim_status(claims: DataFrame, aliases: DataFrame, policies: DataFrame, now
     return df.select("claim_id", status.alias("status"))
 
 
-def pair_codes(claims: DataFrame) -> DataFrame:
-    """All pairs of claims of one subject and relation, with the codes that tell how they stand to each other."""
+def ambiguous(claims: DataFrame, aliases: DataFrame) -> DataFrame:
+    """claims with ``ambiguous``: whether an end is an alias of more than one canonical name."""
+    many = aliases.groupBy("alias").agg(F.countDistinct("canonical_name").alias("n")).where("n > 1")
+    for c in ("src", "dst"):
+        claims = claims.join(many.select(F.col("alias").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
+    return claims.withColumn("ambiguous", F.coalesce("_src", "_dst", F.lit(False))).drop("_src", "_dst")
+
+
+def pair_codes(claims: DataFrame, policies: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """All pairs of claims of one subject and relation, with the codes that tell how they stand to each other.
+
+    Codes of policies (``multi_valued_relation_policy``, ``possible_temporal_succession``) and of aliases
+    (``entity_link_ambiguous``) need those tables.
+    """
     keys = ("src", "rel_type")
-    columns = ("claim_id", "namespace", "dst", "polarity", "modality", "confidence_band", "source_memory_rid", "extractor")
+    columns = ["claim_id", "namespace", "dst", "polarity", "modality", "confidence_band", "source_memory_rid", "extractor", "valid_from", "valid_to"]
+    more = []
+    if policies is not None:
+        claims = claims.join(with_policy(claims, policies).select("claim_id", "overlap_allowed"), "claim_id", "left")
+        more.append((F.expr("overlap_allowed_a and overlap_allowed_b and dst_a <> dst_b"), "multi_valued_relation_policy"))
+        more.append((F.expr("dst_a <> dst_b and polarity_a = 1 and polarity_b = 1") & _timed() & ~_meet(), "possible_temporal_succession"))
+        columns.append("overlap_allowed")
+    if aliases is not None:
+        claims = ambiguous(claims, aliases)
+        more.append((F.expr("ambiguous_a or ambiguous_b"), "entity_link_ambiguous"))
+        columns.append("ambiguous")
     pairs = _side(claims, "a", keys, columns).join(_side(claims, "b", keys, columns), list(keys)).where("claim_id_a < claim_id_b")
 
     def code(condition: str, name: str) -> Column:
@@ -261,6 +283,7 @@ def pair_codes(claims: DataFrame) -> DataFrame:
         code(f"{alike} and source_memory_rid_a <> source_memory_rid_b", "corroborated_multi_source"),
         code(f"{alike} and source_memory_rid_a = source_memory_rid_b and extractor_a = extractor_b", "self_reinforcing_duplicate_skipped"),
         code("'low' in (confidence_band_a, confidence_band_b)", "low_relation_extraction_confidence"),
+        *(F.when(condition, name) for condition, name in more),
     )
     return pairs.select(*keys, "claim_id_a", "claim_id_b", F.filter(codes, lambda x: x.isNotNull()).alias("codes"))
 
@@ -281,10 +304,11 @@ def value_conflicts(edges: DataFrame) -> DataFrame:
 
 def find_conflicts(
     conflicts: DataFrame, status: str | None = None, conflict_type: str | None = None, entity: str | None = None,
-    priority: str | None = None, limit: int = 50, order: tuple[str, ...] = ("src",),
+    priority: str | None = None, limit: int = 50, order: tuple[str, ...] = ("src",), namespace: str | None = None,
 ) -> DataFrame:
     """The first conflicts that pass all filters given."""
-    for column, value in (("status", status), ("conflict_type", conflict_type), ("src", entity), ("priority", priority)):
+    given = (("status", status), ("conflict_type", conflict_type), ("src", entity), ("priority", priority), ("namespace", namespace))
+    for column, value in given:
         if value is not None:
             conflicts = conflicts.where(F.col(column) == value)
     return conflicts.orderBy(*order).limit(limit)
@@ -301,3 +325,42 @@ def resolve(memories: DataFrame, decisions: DataFrame) -> DataFrame:
     losers = decisions.select(F.explode(gone).alias("rid")).distinct().withColumn("_gone", F.lit(True))
     status = F.when(F.col("_gone"), "tombstoned").otherwise(F.col("consolidation_status"))
     return memories.join(losers, "rid", "left").withColumn("consolidation_status", status).drop("_gone")
+
+
+def merged_memories(memories: DataFrame, decisions: DataFrame, now: float) -> DataFrame:
+    """The new memory of each merge (memory_a, memory_b, strategy merge): both texts, the larger importance and
+    half-life, the mean valence, the namespace of the first; active."""
+    parts = ("text", "importance", "valence", "half_life", "namespace")
+    pairs = decisions.where("strategy = 'merge'").select("memory_a", "memory_b").distinct()
+    for s in "ab":
+        pairs = pairs.join(memories.select(F.col("rid").alias(f"memory_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in parts)), f"memory_{s}")
+    return pairs.select(
+        F.concat(F.lit("merge-"), "memory_a", F.lit("-"), "memory_b").alias("rid"), F.concat_ws(" | ", "text_a", "text_b").alias("text"),
+        F.greatest("importance_a", "importance_b").alias("importance"), ((F.col("valence_a") + F.col("valence_b")) / 2).alias("valence"),
+        F.greatest("half_life_a", "half_life_b").alias("half_life"), F.col("namespace_a").alias("namespace"), F.lit(now).alias("created_at"),
+        F.lit("active").alias("consolidation_status"), F.array("memory_a", "memory_b").alias("merged_from"),
+    )
+
+
+def settle(conflicts: DataFrame, decisions: DataFrame, status: str) -> DataFrame:
+    """conflicts (conflict_id, status, ...) with some open ones (conflict_id) resolved or dismissed; a settled
+    conflict stays as it is."""
+    hit = decisions.select("conflict_id").distinct().withColumn("_hit", F.lit(True))
+    now = F.when(F.col("_hit") & (F.col("status") == "open"), status).otherwise(F.col("status"))
+    return conflicts.join(hit, "conflict_id", "left").withColumn("status", now).drop("_hit")
+
+
+def reclassify(conflicts: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """conflicts with the types that some were given (conflict_id, to, category), and what that teaches: both
+    values are members of the category, to be upserted among its tokens."""
+    new = changes.select("conflict_id", F.col("to").alias("_to"))
+    out = conflicts.join(new, "conflict_id", "left").withColumn("conflict_type", F.coalesce("_to", "conflict_type")).drop("_to")
+    told = conflicts.join(changes.where("category is not null"), "conflict_id").select("category", F.explode(F.array("dst_a", "dst_b")).alias("token"))
+    return out, told.distinct().select("category", "token", F.lit(0.8).alias("confidence"), F.lit("learned").alias("source"))
+
+
+def with_texts(conflicts: DataFrame, memories: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """conflicts (memory_a, memory_b, ...) with what both memories say: two left joins."""
+    for s in "ab":
+        conflicts = conflicts.join(memories.select(F.col("rid").alias(f"memory_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in columns)), f"memory_{s}", "left")
+    return conflicts

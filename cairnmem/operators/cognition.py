@@ -88,10 +88,57 @@ def step_triggers(triggers: DataFrame, events: DataFrame, now: float) -> DataFra
     return stepped.withColumn("status", F.when(late, "expired").otherwise(F.col("status"))).drop("to")
 
 
-def cluster_links(memories: DataFrame, threshold: float = 0.6, window: float = 7 * DAY) -> DataFrame:
-    """(a, b, similarity) of active memories that are similar and near in time."""
+def conflict_triggers(conflicts: DataFrame, now: float, patience: float = 7 * DAY) -> DataFrame:
+    """Open conflicts (conflict_id, priority, status, detected_at) above low priority: the longer open, the more
+    urgent.  urgency: 0.5, for high priority 0.7, and up to 0.3 more with the age over ``patience``."""
+    base = F.when(F.col("priority") == "high", 0.7).otherwise(0.5)
+    age = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(now) - F.col("detected_at")) / patience)
+    return conflicts.where("status = 'open' and priority in ('high', 'medium')").select(
+        F.lit("conflict_escalation").alias("trigger_type"), F.concat(F.col("priority"), F.lit(" conflict is open")).alias("reason"),
+        (base + 0.3 * age).alias("urgency"), F.array(F.col("conflict_id").cast("string")).alias("source_rids"), F.lit("resolve_conflict").alias("suggested_action"),
+    )
+
+
+def pattern_triggers(patterns: DataFrame, least: int = 3) -> DataFrame:
+    """Active patterns (pattern_key, confidence, occurrence_count, status) found at least so often; as urgent as
+    they are certain."""
+    return patterns.where((F.col("status") == "active") & (F.col("occurrence_count") >= least)).select(
+        F.lit("pattern_discovered").alias("trigger_type"), F.lit("a pattern recurs").alias("reason"), F.col("confidence").cast("double").alias("urgency"),
+        F.array("pattern_key").alias("source_rids"), F.lit("mention_pattern").alias("suggested_action"),
+    )
+
+
+def valence_triggers(trends: DataFrame, by: str = "namespace", least: float = 0.1) -> DataFrame:
+    """Moods that have moved by at least so much; as urgent as they moved, 1 at most."""
+    return trends.where(F.abs("delta") >= least).select(
+        F.lit("valence_trend").alias("trigger_type"), F.concat(F.lit("mood turned "), "direction").alias("reason"),
+        F.least(F.lit(1.0), F.abs("delta")).alias("urgency"), F.array(F.col(by).cast("string")).alias("source_rids"), F.lit("check_in").alias("suggested_action"),
+    )
+
+
+def goal_triggers(goals: DataFrame, memories: DataFrame, now: float, days: float = 14) -> DataFrame:
+    """Goals (rid, entity, importance): progress where an active memory of the entity is from the last days, else
+    stagnation; as urgent as the goal is important, half of that for progress."""
+    fresh = active(memories).where(F.col("created_at") >= now - days * DAY).groupBy("entity").agg(F.count("*").alias("_n"))
+    moving = F.col("_n").isNotNull()
+    return goals.join(fresh, "entity", "left").select(
+        F.when(moving, "goal_progress").otherwise("goal_stagnation").alias("trigger_type"),
+        F.when(moving, "a goal moves").otherwise("a goal stands still").alias("reason"),
+        F.when(moving, F.col("importance") / 2).otherwise(F.col("importance")).alias("urgency"), F.array("rid").alias("source_rids"),
+        F.when(moving, "report_progress").otherwise("ask_about_goal").alias("suggested_action"),
+    )
+
+
+def cluster_links(memories: DataFrame, threshold: float = 0.6, window: float = 7 * DAY, links: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity) of active memories that are similar and near in time; with ``links`` (rid, entity), of
+    those that have an entity in common."""
     some = active(memories).where("embedding is not null")
     pairs = vectors.similar_pairs(some, "rid", "embedding", threshold, within=("created_at", window))
+    if links is not None:
+        # An entity of both: each pair looks for the entities of its first end among those of the second.
+        first, second = (links.select(F.col("rid").alias(f"id_{s}"), "entity").distinct() for s in "ab")
+        shared = pairs.select("id_a", "id_b").join(first, "id_a").join(second, ["id_b", "entity"]).select("id_a", "id_b").distinct()
+        pairs = pairs.join(shared, ["id_a", "id_b"], "left_semi")
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity")
 
 
@@ -118,10 +165,13 @@ def connected(links: DataFrame, rounds: int = 32) -> DataFrame:
 
 
 def clusters(
-    memories: DataFrame, threshold: float = 0.6, window: float = 7 * DAY, least: int = 2, most: int = 10
+    memories: DataFrame, threshold: float = 0.6, window: float = 7 * DAY, least: int = 2, most: int = 10, links: DataFrame | None = None
 ) -> DataFrame:
-    """(cluster, rid, place): connected similar memories; of a large cluster the ``most`` important stay."""
-    found = connected(cluster_links(memories, threshold, window))
+    """(cluster, rid, place): connected similar memories; of a large cluster the ``most`` important stay.
+
+    With ``links`` (rid, entity) only memories with an entity in common are connected.
+    """
+    found = connected(cluster_links(memories, threshold, window, links))
     named = found.join(memories.select("rid", "importance"), found.id == F.col("rid")).select(F.col("root").alias("cluster"), "rid", "importance")
     w = Window.partitionBy("cluster")
     ranked = named.withColumn("place", F.row_number().over(w.orderBy(F.desc("importance"), "rid"))).withColumn("n", F.count("*").over(w))
@@ -159,6 +209,18 @@ def after_consolidation(clusters_: DataFrame, memories: DataFrame) -> DataFrame:
     ).drop("_into")
 
 
+def transfer_links(clusters_: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (rid, entity) after consolidation: those of the sources, once each, under their new memory, ``c-``
+    and the cluster's name; the others as they are."""
+    into = clusters_.select("rid", F.concat(F.lit("c-"), "cluster").alias("_into"))
+    return links.join(into, "rid", "left").select(F.coalesce("_into", "rid").alias("rid"), "entity").distinct()
+
+
+def topic_clusters(rows: DataFrame, *by: Column | str, least: int = 5) -> DataFrame:
+    """Groups of rows of a topic, of at least so many."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def cooccurrence(links: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, n) of entities that are named together by at least so many memories (rid, entity).
 
@@ -223,6 +285,15 @@ def personality(memories: DataFrame, by: str = "namespace") -> DataFrame:
     return one.select(by, traits.alias("t"), confidence, "sample_count").select(by, "t.trait_name", "t.score", "confidence", "sample_count")
 
 
+def set_traits(traits: DataFrame, wanted: DataFrame, by: str = "namespace") -> DataFrame:
+    """traits with some set by hand (by, trait_name, score): held to [0, 1], and certain."""
+    own = wanted.select(by, "trait_name", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))).alias("_score"))
+    j = traits.join(own, [by, "trait_name"], "left")
+    return j.select(
+        by, "trait_name", F.coalesce("_score", "score").alias("score"), F.when(F.col("_score").isNull(), F.col("confidence")).otherwise(1.0).alias("confidence"), "sample_count"
+    )
+
+
 def tone(traits: DataFrame, by: str = "namespace") -> DataFrame:
     """How each trait shows: high over 0.6, low under 0.4, else even."""
     level = F.when(F.col("score") > 0.6, "high").when(F.col("score") < 0.4, "low").otherwise("even")
@@ -246,20 +317,24 @@ def upcoming(memories: DataFrame, now: float, days: float = 7, deadline: str = "
 WEIGHT_RANGE, ETA = (0.05, 0.90), 0.01
 
 
-def learn_weights(feedback: DataFrame, weights: dict[str, float], eta: float = ETA, least_events: int = 20) -> DataFrame:
-    """(signal, weight) after a generation of feedback (relevant, and a contribution of each signal).
+def learn_weights(
+    feedback: DataFrame, weights: dict[str, float], eta: float = ETA, least_events: int = 20, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """(by, signal, weight) after a generation of feedback (relevant, and a contribution of each signal).
 
     Each event moves each weight by eta times the signal's share of the contributions, up if relevant;
-    the sum is applied at once, clamped, and made to sum to 1.  Under ``least_events`` nothing changes.
+    the sum is applied at once, clamped, and made to sum to 1.  Under ``least_events`` nothing changes.  With
+    ``by`` each user, say, has weights of their own, learned from their own events.
     """
     total = sum((F.col(s) for s in weights), F.lit(0.0))
     sign = F.when(F.col("relevant"), 1.0).otherwise(-1.0)
     sums = [F.coalesce(F.sum(F.when(total > 0, sign * F.col(s) / total).otherwise(0.0)), F.lit(0.0)).alias(s) for s in weights]
-    one = feedback.agg(*sums, F.count("*").alias("_n"))
+    one = feedback.groupBy(*by).agg(*sums, F.count("*").alias("_n"))
     moved = {s: F.greatest(F.lit(WEIGHT_RANGE[0]), F.least(F.lit(WEIGHT_RANGE[1]), F.lit(w) + eta * F.col(s))) for s, w in weights.items()}
     moved = {s: F.when(F.col("_n") >= least_events, c).otherwise(F.lit(weights[s])) for s, c in moved.items()}
     all_ = sum(moved.values(), F.lit(0.0))
-    return one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), (c / all_).alias("weight")) for s, c in moved.items()])).alias("w")).select("w.*")
+    rows = F.array(*[F.struct(F.lit(s).alias("signal"), (c / all_).alias("weight")) for s, c in moved.items()])
+    return one.select(*by, F.explode(rows).alias("w")).select(*by, "w.*")
 
 
 def reinforce_procedural(memories: DataFrame, outcomes: DataFrame, rate: float = 0.2) -> DataFrame:
@@ -304,6 +379,24 @@ def queue_urges(urges: DataFrame, most: int = 20) -> DataFrame:
     return merged.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
+def expire_urges(queue: DataFrame, now: float, after: float = EXPIRY) -> DataFrame:
+    """Urges (user_id, cooldown_key, urgency, created_at) that have not waited too long."""
+    return queue.where(F.lit(now) - F.col("created_at") < after)
+
+
+def suppress_urges(queue: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """Urges without those of some keys (user_id, cooldown_key)."""
+    return queue.join(unwanted.select("user_id", "cooldown_key").distinct(), ["user_id", "cooldown_key"], "left_anti")
+
+
+def pop_urges(queue: DataFrame, threshold: float = 0.7, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The most urgent urges of each user, from a threshold on, and the queue without them."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("urgency"), "cooldown_key")
+    placed = queue.withColumn("_place", F.row_number().over(w))
+    due = (F.col("urgency") >= threshold) & (F.col("_place") <= most)
+    return placed.where(due).drop("_place"), placed.where(~due).drop("_place")
+
+
 @dataclass(frozen=True)
 class ThinkConfig:
     """What a round of thinking does."""

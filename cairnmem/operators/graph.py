@@ -1,5 +1,7 @@
 """The entity graph: edges by last writer, entities, neighbours, chains, names in texts."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,3 +126,18 @@ def link_by_name(texts: DataFrame, names: DataFrame, id_col: str = "rid", text_c
 def _runs(n: int) -> Column:
     """All runs of n words of the array w."""
     return F.expr(f"transform(sequence(1, size(w) - {n} + 1), i -> array_join(slice(w, i, {n}), ' '))")
+
+
+def seeds_of(query: str, names: DataFrame) -> list[str]:
+    """Entities (name) that a query names as whole words, in any case; as few as the query has words."""
+    words = [w for w in re.split(r"[^\w]+", query.lower()) if w]
+    runs = {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
+    plain = F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}_]+", " "))
+    return sorted(r["name"] for r in names.where(plain.isin(sorted(runs))).select("name").distinct().collect()) if runs else []
+
+
+def overlapping(sets: DataFrame, by: str, member: str) -> DataFrame:
+    """(a, b, n) of groups that have n members in common: an equi join on the member."""
+    one = sets.select(F.col(by).alias("a"), F.col(member).alias("m")).distinct()
+    two = one.select(F.col("a").alias("b"), "m")
+    return one.join(two, "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))

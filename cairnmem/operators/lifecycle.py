@@ -11,11 +11,13 @@ SESSION_GAP = 30 * 60.0
 ABANDONED = 24 * 3600.0
 
 
-def record(new: DataFrame, now: float) -> DataFrame:
+def record(new: DataFrame, now: float, strict: bool = False) -> DataFrame:
     """Rows to append for new memories: defaults, and an id from content and place.
 
-    A row without text is refused: it is left out.  ``seq`` orders the new rows.
+    A row without text is refused: it is left out, or, if ``strict``, fails the batch.  ``seq`` orders the new rows.
     """
+    if strict:
+        new = new.withColumn("text", F.coalesce("text", F.raise_error(F.lit("a memory has no text"))))
     df = with_defaults(new.where("text is not null"), MEMORY_DEFAULTS)
     rid = F.concat(F.lit("m-"), F.substring(F.sha2(F.concat_ws("\x1f", "namespace", "text", F.col("seq").cast("string")), 256), 1, 32))
     return df.withColumns(
@@ -32,12 +34,30 @@ def get(memories: DataFrame, rid: str) -> DataFrame:
 
 
 def page(memories: DataFrame, limit: int, offset: int = 0, sort_by: str = "created_at", **filters: str) -> DataFrame:
-    """A page of memories that pass the filters, the largest ``sort_by`` first, with the total."""
+    """A page of memories that pass the filters, the largest ``sort_by`` first, with the total and whether
+    more follow (has_more)."""
     for column, value in filters.items():
         memories = memories.where(F.col(column) == value)
     total = memories.agg(F.count("*").alias("total"))
     rows = memories.orderBy(F.desc(sort_by), "rid").offset(offset).limit(limit)
-    return rows.crossJoin(F.broadcast(total))
+    return rows.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
+
+
+def admit(new: DataFrame, stored: DataFrame, quotas: DataFrame, most: int | None = 10_000) -> tuple[DataFrame, DataFrame]:
+    """A batch of memories (namespace, seq, ...) as far as the quotas (namespace, max_memories) allow, and
+    how many of each namespace were refused.  A batch of over ``most`` rows (None: any) is an error.
+
+    Ranks run over the batch, not over what is stored.
+    """
+    if most is not None and new.limit(most + 1).count() > most:
+        raise ValueError(f"a batch has at most {most} memories")
+    held = stored.groupBy("namespace").agg(F.count("*").alias("_held"))
+    place = F.row_number().over(Window.partitionBy("namespace").orderBy("seq"))
+    room = F.col("max_memories") - F.coalesce("_held", F.lit(0))
+    placed = new.withColumn("_place", place).join(quotas, "namespace", "left").join(held, "namespace", "left")
+    placed = placed.withColumn("_fits", F.col("max_memories").isNull() | (F.col("_place") <= room))
+    refused = placed.where("not _fits").groupBy("namespace").agg(F.count("*").alias("refused"))
+    return placed.where("_fits").select(new.columns), refused
 
 
 def forget(memories: DataFrame, rids: DataFrame) -> DataFrame:
@@ -91,6 +111,32 @@ def stats(memories: DataFrame, by: str = "namespace") -> DataFrame:
     )
 
 
+def engine_stats(
+    memories: DataFrame, edges: DataFrame, operations: DataFrame, conflicts: DataFrame, triggers: DataFrame, patterns: DataFrame
+) -> DataFrame:
+    """One row about all state: the counters of a whole database."""
+    def n(condition: str, name: str):
+        return F.count_if(F.expr(condition)).alias(name)
+
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("e")).agg(F.countDistinct("e").alias("entities"))
+    one = memories.agg(
+        n("consolidation_status = 'active'", "active_memories"), n("consolidation_status = 'consolidated'", "consolidated_memories"),
+        n("consolidation_status = 'tombstoned'", "tombstoned_memories"), n("storage_tier = 'cold'", "archived_memories"),
+        n("consolidation_status <> 'tombstoned' and storage_tier <> 'cold'", "scoring_cache_entries"),
+        n("embedding is not null and consolidation_status <> 'tombstoned'", "vec_index_entries"),
+    )
+    # One row each.
+    parts = (
+        edges.agg(F.count("*").alias("edges"), F.countDistinct("src", "dst", "rel_type").alias("graph_index_edges")),
+        ends.withColumn("graph_index_entities", F.col("entities")), operations.agg(F.count("*").alias("operations")),
+        conflicts.agg(n("status = 'open'", "open_conflicts"), n("status = 'resolved'", "resolved_conflicts")),
+        triggers.agg(n("status = 'pending'", "pending_triggers")), patterns.agg(n("status = 'active'", "active_patterns")),
+    )
+    for part in parts:
+        one = one.crossJoin(F.broadcast(part))
+    return one
+
+
 def procedural_stats(memories: DataFrame) -> DataFrame:
     """Of each domain: how many procedural memories, and their mean effectiveness."""
     own = memories.where("type = 'procedural' and consolidation_status = 'active'")
@@ -100,7 +146,8 @@ def procedural_stats(memories: DataFrame) -> DataFrame:
 def entity_profile(memories: DataFrame, entity: str, now: float, days: float = 90) -> DataFrame:
     """One row about an entity's memories of the last days.
 
-    valence_trend: mean of the newer half of the window less that of the older; frequency: mentions a day.
+    valence_trend: mean of the newer half of the window less that of the older; frequency: mentions a day;
+    domain_counts: a map; dominant_emotion: the commonest emotional_state, the first of equals, if there is any.
     """
     begin, middle = now - days * 86400.0, now - days * 43200.0
     own = memories.where((F.col("entity") == entity) & (F.col("created_at") >= begin) & (F.col("consolidation_status") == "active"))
@@ -110,15 +157,21 @@ def entity_profile(memories: DataFrame, entity: str, now: float, days: float = 9
         (F.coalesce(F.avg(F.when(newer, F.col("valence"))), F.lit(0.0)) - F.coalesce(F.avg(F.when(~newer, F.col("valence"))), F.lit(0.0))).alias("valence_trend"),
         F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"),
     )
-    domains = own.groupBy("domain").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "domain"))).alias("d"))
+    domains = own.groupBy("domain").agg(F.count("*").alias("n")).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "domain"))).alias("d"), F.map_from_entries(F.collect_list(F.struct("domain", "n"))).alias("domain_counts")
+    )
+    felt = own if "emotional_state" in own.columns else own.withColumn("emotional_state", F.lit(None).cast("string"))
+    felt = felt.groupBy("emotional_state").agg(F.count("*").alias("n")).where("emotional_state is not null")
+    felt = felt.agg(F.min_by("emotional_state", F.struct(-F.col("n"), "emotional_state")).alias("dominant_emotion"))
     text = F.array_join(F.transform("d", lambda s: F.concat(s["domain"], F.lit(":"), (-s["m"]).cast("string"))), ",")
-    return one.crossJoin(F.broadcast(domains.select(text.alias("domains")))).withColumns(
+    return one.crossJoin(F.broadcast(domains.select(text.alias("domains"), "domain_counts"))).crossJoin(F.broadcast(felt)).withColumns(
         {"entity": F.lit(entity), "window_days": F.lit(float(days)), "interaction_frequency": F.col("mention_count") / days}
     )
 
 
 def relationship_depth(memories: DataFrame, connections: DataFrame) -> DataFrame:
-    """Of each entity: sessions, mentions, domains, connections (entity, other), and a depth in [0, 1).
+    """Of each entity: sessions, mentions, domains, connections (entity, other, rel_type) and their types, and a
+    depth in [0, 1).
 
     depth_score: 1 - exp(-(mentions / 20 + sessions / 10 + domains / 5 + connections / 10) / 4).
     """
@@ -127,7 +180,9 @@ def relationship_depth(memories: DataFrame, connections: DataFrame) -> DataFrame
         F.avg("valence").alias("avg_valence"), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains_spanning"),
         F.countDistinct("domain").alias("n_domains"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"),
     )
-    degree = connections.groupBy("entity").agg(F.countDistinct("other").alias("connection_count"))
+    degree = connections.groupBy("entity").agg(
+        F.countDistinct("other").alias("connection_count"), F.array_join(F.array_sort(F.collect_set("rel_type")), ",").alias("relationship_types")
+    )
     out = own.join(degree, "entity", "left").withColumn("connection_count", F.coalesce("connection_count", F.lit(0)))
     depth = F.col("memories_mentioning") / 20 + F.col("sessions_together") / 10 + F.col("n_domains") / 5 + F.col("connection_count") / 10
     return out.withColumn("depth_score", 1 - F.exp(-depth / 4)).drop("n_domains")
@@ -161,6 +216,27 @@ def abandon(sessions: DataFrame, now: float, after: float = ABANDONED) -> DataFr
     return sessions.withColumn("status", F.when(F.lit(now) - F.col("ended_at") > after, "abandoned").otherwise("active"))
 
 
+def start_sessions(sessions: DataFrame, new: DataFrame, now: float) -> DataFrame:
+    """sessions (session_id, user_id, status, started_at, ended_at) with new ones (session_id, user_id); a user has
+    one active session, so an older one ends."""
+    begun = new.select("session_id", "user_id", F.lit("active").alias("status"), F.lit(now).alias("started_at"), F.lit(None).cast("double").alias("ended_at"))
+    ending = sessions.where("status = 'active'").join(new.select("user_id").distinct(), "user_id", "left_semi").select("session_id")
+    return end_sessions(sessions, ending, now).unionByName(begun.join(sessions.select("session_id"), "session_id", "left_anti").select(sessions.columns))
+
+
+def end_sessions(sessions: DataFrame, ending: DataFrame, now: float) -> DataFrame:
+    """sessions with some active ones (session_id) ended; a session that is not active does not change."""
+    hit = ending.select("session_id").distinct().withColumn("_hit", F.lit(True))
+    ends = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("status") == "active")
+    return sessions.join(hit, "session_id", "left").withColumns(
+        {"ended_at": F.when(ends, F.lit(now)).otherwise(F.col("ended_at")), "status": F.when(ends, "ended").otherwise(F.col("status"))}
+    ).select(sessions.columns)
+
+
+def active_sessions(sessions: DataFrame) -> DataFrame:
+    return sessions.where("status = 'active'")
+
+
 def within_budget(rows: DataFrame, by: str, order: list, size, budget: int) -> DataFrame:
     """The first rows of each group whose sizes add up to a budget at most; the first that does not fit
     ends the group."""

@@ -91,3 +91,25 @@ def lag(log: DataFrame, peers: DataFrame) -> DataFrame:
 def backfill_embeddings(memories: DataFrame, embed: Column) -> DataFrame:
     """memories with an embedding computed where there is none."""
     return memories.withColumn("embedding", F.coalesce(F.col("embedding"), embed))
+
+
+def advance(marks: DataFrame, seen: DataFrame, by: tuple[str, ...] = ("peer", "db")) -> DataFrame:
+    """Watermarks (peer, db, hlc, op_id) after some positions of the same form: the largest of each, so that none
+    goes back, in whatever order reports come."""
+    both = marks.select(*by, "hlc", "op_id").unionByName(seen.select(*by, "hlc", "op_id"))
+    return both.groupBy(*by).agg(F.max(position()).alias("p")).select(*by, "p.hlc", "p.op_id")
+
+
+def after_marks(log: DataFrame, marks: DataFrame, db: str = "db") -> DataFrame:
+    """(peer, db, op_id, hlc) of what each peer has yet to pull: an equi join on the database."""
+    at = marks.select("peer", db, F.col("hlc").alias("_hlc"), F.col("op_id").alias("_op"))
+    new = (F.col("hlc") > F.col("_hlc")) | ((F.col("hlc") == F.col("_hlc")) & (F.col("op_id") > F.col("_op")))
+    return log.join(at, db).where(new).select("peer", db, "op_id", "hlc")
+
+
+def union_members(*replicas: DataFrame) -> DataFrame:
+    """Members (cluster, member) of consolidations as all replicas have them: a union of sets."""
+    out = replicas[0].select("cluster", "member")
+    for r in replicas[1:]:
+        out = out.unionByName(r.select("cluster", "member"))
+    return out.distinct()

@@ -277,3 +277,19 @@ def evaluate(ranked: DataFrame, golden: DataFrame, k: int = 10) -> DataFrame:
             F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"),
         )
     )
+
+
+def covering(ranked: DataFrame, sources: DataFrame) -> DataFrame:
+    """ranked (query_id, rid, rank) with the sources (rid, source_rid) that a consolidated memory stands for, at its
+    rank; of several places of one memory the best counts."""
+    more = ranked.join(sources, "rid").select("query_id", F.col("source_rid").alias("rid"), "rank")
+    return ranked.select("query_id", "rid", "rank").unionByName(more).groupBy("query_id", "rid").agg(F.min("rank").alias("rank"))
+
+
+def by_tag(metrics: DataFrame, tags: DataFrame, passing: float = 0.5) -> DataFrame:
+    """Of each tag of queries (query_id, tags): queries, mean metrics, and the share whose recall passes."""
+    own = metrics.join(tags.select("query_id", F.explode("tags").alias("tag")).distinct(), "query_id")
+    return own.groupBy("tag").agg(
+        F.count("*").alias("n"), F.avg("recall_at_k").alias("mean_recall"), F.avg("reciprocal_rank").alias("mrr"),
+        F.avg((F.col("recall_at_k") >= passing).cast("double")).alias("pass_rate"),
+    )

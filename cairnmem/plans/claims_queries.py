@@ -302,24 +302,36 @@ def claims_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("conv_id", "turn", F.lit("accepted").alias("outcome")).unionByName(bad.select("conv_id", "turn", F.col("reason").alias("outcome")))
 
 
-# Sentences whose claims are known.
+# Sentences about a customer, a number from 0 to 5 each, and the claim that each holds: source, relation,
+# object, polarity, modality.
 _SENTENCES = (
-    ("t0", "Alice Chen works at Acme Corp; Bob Stone allegedly founded Blue Labs", "Alice Chen|works_at|Acme Corp|1|asserted,Bob Stone|founded|Blue Labs|1|reported"),
-    ("t1", "Carol Diaz is not married to Dan Reed.", "Carol Diaz|married_to|Dan Reed|-1|asserted"),
-    ("t2", "Acme Corp acquired Blue Labs, then Blue Labs is headquartered in Paris", "Acme Corp|acquired|Blue Labs|1|asserted,Blue Labs|headquartered_in|Paris|1|asserted"),
-    ("t3", "nothing to see here", ""),
+    ("C{k} Chen works at Acme N{n}", "C{k} Chen|works_at|Acme N{n}|1|asserted"),
+    ("some say C{k} Stone allegedly founded Blue N{n}", "C{k} Stone|founded|Blue N{n}|1|reported"),
+    ("C{k} Diaz is not married to Dan N{n}.", "C{k} Diaz|married_to|Dan N{n}|-1|asserted"),
+    ("Acme N{n}'s CEO, C{k} Reed", "C{k} Reed|ceo_of|Acme N{n}|1|asserted"),
+    ("in time, then Acme C{k} acquired Blue N{n}", "Acme C{k}|acquired|Blue N{n}|1|asserted"),
+    ("nothing about customer {k} of nation {n}", ""),
 )
 
 
+def _sql_text(form: str) -> str:
+    return "'" + form.replace("'", "''").replace("{k}", "' || c_custkey || '").replace("{n}", "' || c_nationkey || '") + "'"
+
+
 @query(
     " UNION ALL ".join(
-        "SELECT " + ", ".join(f"'{v}' AS {k}" if k != "polarity" else f"{v} AS polarity" for k, v in zip(("id", "src", "rel_type", "dst", "polarity", "modality"), (i, *x.split("|")), strict=True))
-        for i, _, found in _SENTENCES for x in found.split(",") if x
+        "SELECT c_custkey AS id, " + ", ".join(f"{_sql_text(v) if k != 'polarity' else v} AS {k}" for k, v in zip(("src", "rel_type", "dst", "polarity", "modality"), found.split("|"), strict=True))
+        + f" FROM customer WHERE c_custkey % 6 = {i}"
+        for i, (_, found) in enumerate(_SENTENCES) if found
     )
 )
 def extract_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims found in fixed sentences."""
-    texts = spark.createDataFrame([(i, s) for i, s, _ in _SENTENCES], "rid string, text string")
+    """Claims found in a sentence about every customer."""
+    k, text = F.col("c_custkey"), F.lit(None).cast("string")
+    for i, (form, _) in enumerate(_SENTENCES):
+        said = F.replace(F.replace(F.lit(form), F.lit("{k}"), k.cast("string")), F.lit("{n}"), F.col("c_nationkey").cast("string"))
+        text = F.when(k % 6 == i, said).otherwise(text)
+    texts = tables.table(spark, sf_dir, "customer").select(k.alias("rid"), text.alias("text"))
     return extraction.extract(texts).select("id", "src", "rel_type", "dst", "polarity", "modality")
 
 
@@ -403,14 +415,35 @@ def reachable_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(tables.place_edges(spark, sf_dir), seeds, 4)
 
 
-# Names and the types that they have.
-_NAMES = (("Sarah", "works_at", "person"), ("FAISS", "uses", "tech"), ("data pipeline", "runs", "unknown"), ("Acme Corp", "owns", "organization"), ("spark", "runs", "tech"), ("tim", "knows", "person"))
+_TYPES = r"""
+    WITH names AS (
+        SELECT n_name AS name, 'located_in' AS rel_type FROM nation UNION ALL SELECT r_name, 'owns' FROM region
+        UNION ALL SELECT c_mktsegment, 'runs' FROM customer UNION ALL SELECT 'Sarah No' || c_custkey, 'works_at' FROM customer
+        UNION ALL SELECT 'Bank Of ' || n_name, 'owns' FROM nation UNION ALL SELECT p_name, 'uses' FROM part UNION ALL SELECT 'spark', 'runs' FROM region),
+    w AS (SELECT *, regexp_split_to_array(lower(name), '[^\p{L}0-9]+') AS words FROM names)
+    SELECT name, CASE
+        WHEN list_has_any(words, ['api', 'database', 'server', 'python', 'rust', 'spark', 'redis', 'docker', 'kubernetes', 'linux']) AND NOT contains(name, ' ') THEN 'tech'
+        WHEN list_has_any(words, ['inc', 'corp', 'ltd', 'company', 'university', 'bank']) THEN 'organization'
+        WHEN regexp_matches(name, '^[A-Z][A-Z0-9]{1,7}$') THEN 'tech'
+        WHEN rel_type IN ('works_at', 'lives_in', 'married_to', 'parent_of', 'knows', 'manages', 'reports_to') THEN 'person'
+        WHEN regexp_matches(name, '^[A-Z][a-z]+( [A-Z][a-z]+){0,2}$') THEN 'person' ELSE 'unknown' END AS entity_type FROM w
+"""
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS name, '{t}' AS entity_type" for n, _, t in _NAMES))
+@query(_TYPES)
 def entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n, r) for n, r, _ in _NAMES], "name string, rel_type string")
-    return names.select("name", graph.entity_type(F.col("name"), F.col("rel_type")).alias("entity_type"))
+    """Types of all names in several tables."""
+    t = {name: tables.table(spark, sf_dir, name) for name in ("nation", "region", "customer", "part")}
+    parts = (
+        ("nation", F.col("n_name"), "located_in"), ("region", F.col("r_name"), "owns"), ("customer", F.col("c_mktsegment"), "runs"),
+        ("customer", F.concat(F.lit("Sarah No"), "c_custkey"), "works_at"), ("nation", F.concat(F.lit("Bank Of "), "n_name"), "owns"), ("part", F.col("p_name"), "uses"),
+        ("region", F.lit("spark"), "runs"),
+    )
+    out = None
+    for table, name, relation in parts:
+        own = t[table].select(name.alias("name"), graph.entity_type(name, F.lit(relation)).alias("entity_type"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query(
@@ -441,16 +474,13 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     given(
-        MEMORIES, EDGE_LOG,
+        MEMORIES,
         body="""
-        , k AS (SELECT entity, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains FROM active GROUP BY entity)
-        SELECT a.entity AS entity_a, b.entity AS entity_b FROM k a JOIN k b ON a.entity < b.entity
-        WHERE a.entity IN ('customer1', 'customer2', 'customer3') AND b.entity IN ('customer1', 'customer2', 'customer3') AND list_has_any(string_split(a.domains, ','), string_split(b.domains, ','))""",
+        , k AS (SELECT DISTINCT namespace, domain || ':' || type AS m FROM active)
+        SELECT a.namespace AS a, b.namespace AS b, count(*) AS n FROM k a JOIN k b ON a.m = b.m AND a.namespace < b.namespace GROUP BY ALL""",
     )
 )
 def domain_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of a stated set whose domains overlap."""
-    m = tables.memories(spark, sf_dir).where("consolidation_status = 'active'").where(F.col("entity").isin("customer1", "customer2", "customer3"))
-    sets = m.groupBy("entity").agg(F.collect_set("domain").alias("d"))
-    a, b = (sets.select(F.col("entity").alias(f"entity_{s}"), F.col("d").alias(f"d_{s}")) for s in "ab")
-    return a.join(b, (F.col("entity_a") < F.col("entity_b")) & F.arrays_overlap("d_a", "d_b")).select("entity_a", "entity_b")
+    """Namespaces that have kinds of memories in common, and how many."""
+    kinds = tables.memories(spark, sf_dir).where("consolidation_status = 'active'").select("namespace", F.concat_ws(":", "domain", "type").alias("m"))
+    return graph.overlapping(kinds, "namespace", "m")

@@ -206,7 +206,7 @@ def valence_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thematic groups of labelled vectors."""
     kind = F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("source_kind")
-    return tables.table(spark, sf_dir, "embeddings").groupBy("label", kind).agg(F.count("*").alias("n")).where("n >= 5")
+    return g.topic_clusters(tables.table(spark, sf_dir, "embeddings"), "label", kind)
 
 
 @query(
@@ -275,21 +275,22 @@ _SIGNALS = {"similarity": 0.50, "decay": 0.20, "recency": 0.30}
 
 def _learned(signals: dict[str, float]) -> str:
     total = "(similarity + decay + recency)"
-    moved = {s: f"greatest(0.05::double, least(0.9::double, {w}::double + 0.01::double * sum(sign * {s} / {total})))" for s, w in signals.items()}
+    moved = {s: f"CASE WHEN count(*) < 5 THEN {w}::double ELSE greatest(0.05::double, least(0.9::double, {w}::double + 0.01::double * sum(sign * {s} / {total}))) END" for s, w in signals.items()}
     one = ", ".join(f"{c} AS {s}" for s, c in moved.items())
-    rows = " UNION ALL ".join(f"SELECT '{s}' AS signal, round({s} / {total}, 6) AS weight FROM o" for s in signals)
-    return f"""WITH f AS (SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE -1 END AS sign, value / 100 AS similarity, (event_id % 10) / 10.0::double AS decay,
-        (event_id % 7 + 1) / 7.0::double AS recency FROM events WHERE event_id < 200), o AS (SELECT {one} FROM f) {rows}"""
+    rows = " UNION ALL ".join(f"SELECT user_id, '{s}' AS signal, round({s} / {total}, 6) AS weight FROM o" for s in signals)
+    return f"""WITH f AS (SELECT user_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE -1 END AS sign, value / 100 AS similarity, (event_id % 10) / 10.0::double AS decay,
+        (event_id % 7 + 1) / 7.0::double AS recency FROM events), o AS (SELECT user_id, {one} FROM f GROUP BY user_id) {rows}"""
 
 
 @query(_learned(_SIGNALS))
 def feedback_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights after a generation of feedback."""
+    """Weights of each user after a generation of all their feedback."""
     n = F.col("event_id")
-    f = tables.table(spark, sf_dir, "events").where("event_id < 200").select(
-        F.col("event_type").isin("purchase", "signup").alias("relevant"), (F.col("value") / 100).alias("similarity"), (n % 10 / 10.0).alias("decay"), ((n % 7 + 1) / 7.0).alias("recency")
-    )
-    return _round(g.learn_weights(f, _SIGNALS), "weight")
+    f = tables.table(spark, sf_dir, "events").select(
+        "user_id", F.col("event_type").isin("purchase", "signup").alias("relevant"), (F.col("value") / 100).alias("similarity"), (n % 10 / 10.0).alias("decay"),
+        ((n % 7 + 1) / 7.0).alias("recency"),
+    )
+    return _round(g.learn_weights(f, _SIGNALS, least_events=5, by=("user_id",)), "weight")
 
 
 @query(

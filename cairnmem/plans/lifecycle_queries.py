@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cairnmem.operators import graph, lifecycle, oplog
 from cairnmem.plans.registry import query
 from cairnmem.plans.sql import EDGE_LOG, MEMORIES, OPLOG, given
+from cairnmem.runtime import scratch
 from cairnmem.sources import exchange, synthetic, tables, tenants
 from cairnmem.sources.tables import NOW
 from cairnmem.streaming import events as streams
@@ -59,11 +60,20 @@ def stats_by_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.stats(_m(spark, sf_dir))
 
 
-@query(given(MEMORIES, body="SELECT namespace, domain, type, count(*) AS n, round(avg(importance), 6) AS avg_importance FROM active GROUP BY ROLLUP (namespace, domain, type)"))
+@query(
+    given(
+        MEMORIES,
+        body="SELECT namespace, domain, type, count(*) AS n, sum(importance::decimal(20, 9))::double / count(*) AS avg_importance FROM active GROUP BY ROLLUP (namespace, domain, type)",
+    )
+)
 def rollup_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts at every level (an extension)."""
+    """Counts and means at every level (an extension).
+
+    Means are of exact sums: one of doubles depends on the order of summation, and so does its rounding.
+    """
     own = _m(spark, sf_dir).where("consolidation_status = 'active'")
-    return own.rollup("namespace", "domain", "type").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 6).alias("avg_importance"))
+    mean = F.sum(F.col("importance").cast("decimal(20,9)")).cast("double") / F.count("*")
+    return own.rollup("namespace", "domain", "type").agg(F.count("*").alias("n"), mean.alias("avg_importance"))
 
 
 @query(given(MEMORIES, body="SELECT domain, count(*) AS n, round(avg(importance), 6) AS avg_effectiveness FROM active WHERE type = 'procedural' GROUP BY domain"))
@@ -100,7 +110,7 @@ def entity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def relationship_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways = graph.both_ways(tables.edge_log(spark, sf_dir)).select("entity", "other")
+    ways = graph.both_ways(tables.edge_log(spark, sf_dir)).select("entity", "other", "rel_type")
     out = _round(lifecycle.relationship_depth(_m(spark, sf_dir), ways), "avg_valence", "depth_score")
     return out.select("entity", "sessions_together", "memories_mentioning", "avg_valence", "domains_spanning", "connection_count", "depth_score")
 
@@ -326,11 +336,17 @@ def synthetic_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.agg(F.count("*").alias("n"), F.countDistinct("rid").alias("n_rids"), F.min("fine").alias("in_range"))
 
 
-@query("SELECT sum(epoch_us(ts) % 1000003)::bigint AS mark, count(*) AS n_rows FROM events")
+@query("SELECT sum(epoch_us(ts) % 1000003)::bigint AS mark, count(*) AS n_rows, true AS intact FROM events")
 def snapshot_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table's rows and a mark that no order changes."""
-    e = tables.table(spark, sf_dir, "events")
-    return e.agg(F.sum(F.unix_micros(F.col("ts").cast("timestamp")) % 1000003).alias("mark"), F.count("*").alias("n_rows"))
+    """A table written as a version and read again: its rows, a mark that no order changes, and whether the
+    checksum of the manifest holds."""
+    path = scratch(spark, "snapshot")
+    manifest = exchange.snapshot({"events": tables.table(spark, sf_dir, "events")}, path, 1).select("checksum")
+    back = spark.read.parquet(f"{path}/v1/events")
+    mark = back.agg(F.sum(F.unix_micros(F.col("ts").cast("timestamp")) % 1000003).alias("mark"), F.count("*").alias("n_rows"))
+    now = exchange.checksum(back.repartition(7)).select(F.col("checksum").alias("now"))
+    # One row each.
+    return mark.crossJoin(F.broadcast(manifest)).crossJoin(F.broadcast(now)).select("mark", "n_rows", (F.col("checksum") == F.col("now")).alias("intact"))
 
 
 @query(given(OPLOG, body="SELECT op_id FROM oplog WHERE right(op_id, 1) = '4'"))
@@ -372,7 +388,7 @@ def members_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consolidation members of two replicas: a union of sets."""
     n = F.col("event_id")
     rows = tables.table(spark, sf_dir, "events").select(n, F.concat(F.lit("m"), n % 997).alias("cluster"), F.concat(F.lit("m"), n % 40).alias("member"))
-    both = rows.where("event_id % 2 = 0").select("cluster", "member").union(rows.where("event_id % 3 = 0").select("cluster", "member")).distinct()
+    both = oplog.union_members(rows.where("event_id % 2 = 0"), rows.where("event_id % 3 = 0"))
     return both.groupBy("cluster").agg(F.count("*").alias("n_members"))
 
 

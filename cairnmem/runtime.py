@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +21,30 @@ def let_workers_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only in local mode is one chosen here where that is unset."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder.rstrip("/") or "file://" + os.path.join(tempfile.gettempdir(), "cairnmem-checkpoints")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for as long as the driver lives."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cairnmem-{name}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return files.makeQualified(path).toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names; only in local mode is one
-    chosen here where that is unset."""
+    """df with its lineage cut, in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "cairnmem-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

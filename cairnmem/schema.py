@@ -17,6 +17,7 @@ MODALITIES = ("asserted", "reported", "hypothetical", "denied", "quoted")
 CONFIDENCE_RANK = {"low": 1, "medium": 2, "high": 3}
 TRAITS = ("warmth", "energy", "depth", "attentiveness")
 
+# The columns of the tables.
 MEMORY = (
     "rid string, type string, text string, created_at double, importance double, valence double, half_life double, "
     "last_access double, access_count bigint, consolidation_status string, storage_tier string, consolidated_into string, "

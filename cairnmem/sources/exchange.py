@@ -107,3 +107,26 @@ def quota_of(databases: DataFrame, quotas: DataFrame, defaults: dict[str, int])
     """Each database with its quotas, or the defaults where it has none."""
     j = databases.join(quotas, "name", "left")
     return j.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def import_jsonl(lines: DataFrame, schema: str, existing: DataFrame, embed: Column | None = None) -> DataFrame:
+    """Memories from lines of JSON, to append: with ids of their own, made of the old id and the text, and with
+    ``embed`` of the text where one is given; those that are there already are left out."""
+    rows = from_jsonl(lines, "memory", schema).where("rid is not null")
+    rows = rows.withColumn("rid", F.concat(F.lit("i-"), F.substring(F.sha2(F.concat_ws("\x1f", "rid", "text"), 256), 1, 32)))
+    rows = rows if embed is None else rows.withColumn("embedding", embed)
+    return rows.dropDuplicates(["rid"]).join(existing.select("rid"), "rid", "left_anti")
+
+
+def export_control(databases: DataFrame, tokens: DataFrame, path: str) -> None:
+    """Write databases (name, ...) and those tokens (token_hash, revoked, ...) that are not revoked."""
+    databases.write.mode("overwrite").json(f"{path}/databases")
+    tokens.where("not revoked").write.mode("overwrite").json(f"{path}/tokens")
+
+
+def import_control(databases: DataFrame, tokens: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """databases and tokens with what an export adds: databases by name, tokens by hash; nothing is replaced."""
+    spark = databases.sparkSession
+    new_databases = spark.read.schema(databases.schema).json(f"{path}/databases")
+    new_tokens = spark.read.schema(tokens.schema).json(f"{path}/tokens")
+    return merge_new(databases, new_databases, ["name"]), merge_new(tokens, new_tokens, ["token_hash"])
