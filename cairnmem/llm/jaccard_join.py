@@ -24,7 +24,11 @@ which adaptive execution may split.  Sets are compared by 64-bit n-gram hashes.
 Nulls and ties: a null or empty text has the empty set, size 0, and links with nothing.  A text
 shorter than an n-gram is one n-gram of all of its words.  component_id is the smallest doc_id of the
 component, nulls last, so it is null only where all are.  Repeated rows are linked like any equal
-texts.  An empty table gives no rows.  Other columns are ignored, or kept by ``drop_near_copies``.
+texts.  An empty table gives no rows.  Other columns are ignored, or kept by ``drop_near_copies``.  A very
+long text is a chunk of its own, whose words must fit in a task; its set is verified a fragment at a time.
+
+Rounds and leaders only set how soon pairs are tested: what they leave is tested in full.  That last step is
+quadratic in the documents of one list that share a rare n-gram, could link by size and place, and yet do not.
 """
 
 from collections.abc import Iterator
@@ -40,6 +44,7 @@ from cairnmem.llm.components import components
 from cairnmem.llm.staging import Stage
 
 FRAGMENTS = 8
+#: Rounds of leaders, and leaders of a list in one, before the rest is tested pair by pair.
 MAX_ROUNDS = 5
 PAIRS_PER_ENTRY = 1
 MAX_LEADERS = 64

@@ -8,28 +8,16 @@ from the first scan.  The folder is the one that ``spark.checkpoint.dir`` names;
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnmem.runtime import let_workers_import
+from cairnmem.runtime import let_workers_import, shared_folder
 
 #: Drops a query's shuffle files as soon as its write has been committed.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "cairnmem-shared")
-
-
 @contextlib.contextmanager
 def _shuffles_dropped(spark: SparkSession):
     before = spark.conf.get(_CLEAN, None)
