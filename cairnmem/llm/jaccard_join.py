@@ -18,8 +18,8 @@ up to ``MAX_LEADERS``; documents that are connected already need no pair.  When
 within a list, between different components, are verified.  So a large group of near copies costs a
 few pairs a member, and no link between different components is ever skipped.
 
-Lists, leaders and labels are plain tables; what is joined on a hot key is a join of two exchanges,
-which adaptive execution may split.  Sets are compared by 64-bit n-gram hashes.
+Lists, leaders and labels are plain tables.  The entries of a list meet its leaders in ``SALTS`` parts; what else
+is joined on a hot key is a join of two exchanges, which adaptive execution may split.  Sets are compared by 64-bit n-gram hashes.
 
 Nulls and ties: a null or empty text has the empty set, size 0, and links with nothing.  A text
 shorter than an n-gram is one n-gram of all of its words.  component_id is the smallest doc_id of the
@@ -48,6 +48,8 @@ FRAGMENTS = 8
 MAX_ROUNDS = 5
 PAIRS_PER_ENTRY = 1
 MAX_LEADERS = 64
+#: Parts of a list in the joins of its entries with what there is once a list.
+SALTS = 8
 #: Distinct n-grams of representatives in a block of the second exchange, about.
 BLOCK_KEYS = 1 << 20
 
@@ -237,6 +239,16 @@ def _can_link(percent: int, size: Column, pos: Column, size_2: Column, pos_2: Co
     )
 
 
+def _dealt(entries: DataFrame) -> DataFrame:
+    """Entries of lists dealt to ``SALTS`` parts, so that no task gets all of an n-gram that many have."""
+    return entries.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+
+
+def _every(lists: DataFrame) -> DataFrame:
+    """What there is of each list, for every part of it."""
+    return lists.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+
 class _Join:
     """The rounds of candidates and their verification."""
 
@@ -251,26 +263,25 @@ class _Join:
         size = self.index.count()
         leaders = 1
         for k in range(rounds):
-            self._open()
+            pairs = self._open()
             # Pairs in proportion to the index are looked at directly; more are thinned out by leaders.
-            if k and self._open_pairs() <= PAIRS_PER_ENTRY * size or not self._star(k, leaders):
+            if k and pairs <= PAIRS_PER_ENTRY * size or not self._star(k, leaders):
                 self._rest()
                 return
             leaders = min(4 * leaders, MAX_LEADERS)
         self._open()
         self._rest()
 
-    def _open(self) -> None:
-        """Keep the entries of lists that hold more than one component; the others never open again."""
-        entries = self.index.select("token", "row", "size", "pos").join(self.labels, "row")
-        tokens = entries.groupBy("token").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("token")
-        self.index = self.stage.write(entries.join(tokens.hint("merge"), "token", "left_semi"), "open")
-
-    def _open_pairs(self) -> float:
-        """How many pairs of different components the lists hold."""
-        parts = self.index.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
+    def _open(self) -> float:
+        """Keep the entries of lists that hold more than one component, as the others never open again; how
+        many pairs of different components they hold."""
+        entries = self.stage.write(self.index.select("token", "row", "size", "pos").join(self.labels, "row"), "entries")
+        parts = entries.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
         pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
-        return parts.groupBy("token").agg(pairs.alias("p")).agg(F.sum("p")).first()[0] or 0.0
+        tokens = self.stage.write(parts.groupBy("token").agg(pairs.alias("p")).where("p > 0"), "tokens")
+        self.index = self.stage.write(_dealt(entries).join(_every(tokens.select("token")), ["token", "salt"], "left_semi").drop("salt"), "open")
+        self.stage.drop(entries)
+        return tokens.agg(F.sum("p")).first()[0] or 0.0
 
     def _untested(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.tested, ["a", "b"], "left_anti")
@@ -286,8 +297,8 @@ class _Join:
         lists = self.index.groupBy("token", F.pmod(deal, F.lit(leaders)).alias("part")).agg(lead)
         lists, lead = self.stage.write(lists.select("token", "lead"), "lists"), F.col("lead")
         fits = _can_link(self.percent, F.col("size"), F.col("pos"), lead["size"], lead["pos"])
-        # As a merge of two exchanges, also where the leaders are few: that one is split where an n-gram is hot.
-        votes = self.index.join(lists.hint("merge"), "token").where((F.col("root") != lead["root"]) & fits).groupBy("row", lead["row"].alias("other"))
+        votes = _dealt(self.index).join(_every(lists), ["token", "salt"]).where((F.col("root") != lead["root"]) & fits)
+        votes = votes.groupBy("row", lead["row"].alias("other"))
         votes = votes.agg(F.count("*").alias("votes"))
         votes = self._untested(votes.withColumns({"a": F.least("row", "other"), "b": F.greatest("row", "other")}))
         place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("votes"), "other"))
@@ -297,7 +308,7 @@ class _Join:
         """All pairs of different components that share a list and are not tested yet."""
         x, y = (self.index.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "pos", "root"))) for s in "ab")
         fits = _can_link(self.percent, F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b"))
-        pairs = x.join(y.hint("merge"), "token").where((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+        pairs = x.join(y, "token").where((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & fits)
         self._connect(self._untested(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()))
 
     def _connect(self, pairs: DataFrame) -> bool:
