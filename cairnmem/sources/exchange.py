@@ -86,9 +86,15 @@ def hash_embedding(text: Column, dim: int = VECTOR_DIM) -> Column:
     """A vector of word hashes at length 1, in SQL functions: for tests, and where no model is at hand."""
     words = F.filter(F.split(F.lower(text), "[^\\p{L}0-9]+"), lambda w: F.length(w) > 0)
     at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+    counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda c: _once(norm(c), lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(c))
+    return _once(at, lambda a: _once(counts(a), scaled))
+
+
+def _once(value: Column, of) -> Column:
+    """of(value), with the value computed once for all places where ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
 
 
 def embedder(encode_factory):
