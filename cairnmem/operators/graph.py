@@ -15,6 +15,17 @@ def last_edges(log: DataFrame, order: tuple[str, ...] = ("at", "nth")) -> DataFr
     return log.groupBy(*KEY).agg(F.max_by("weight", F.struct(*order)).alias("weight"), F.max(order[0]).alias(order[0]))
 
 
+def relate(edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (src, dst, rel_type, weight, at, nth) with new ones, of each key the one written last, and the entities
+    (name, entity_type) at their ends: the most telling type that any relation gives a name."""
+    all_ = edges.unionByName(new.select(edges.columns))
+    ends = all_.select(F.explode(F.array("src", "dst")).alias("name"), "rel_type").distinct()
+    typed = ends.select("name", entity_type(F.col("name"), F.col("rel_type")).alias("entity_type"))
+    # Any type before unknown; of several the first by name.
+    best = F.min(F.struct((F.col("entity_type") == "unknown").alias("u"), "entity_type")).alias("t")
+    return last_edges(all_), typed.groupBy("name").agg(best).select("name", "t.entity_type")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge from either end: entity, other, weight."""
     there = edges.select(F.col("src").alias("entity"), F.col("dst").alias("other"), "rel_type", "weight")

@@ -40,8 +40,9 @@ def fit(sample: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
     return at
 
 
-def build(memories: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> None:
-    """Write the index of all memories (rid, embedding) that have one: ``path/vectors`` by cell, ``path/cells``.
+def build(memories: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> int:
+    """Write the index of all memories (rid, embedding) that have one, ``path/vectors`` by cell and ``path/cells``, and
+    return how many there are.
 
     By default as many cells as the square root of the vectors, at most ``MOST_CELLS``.  All vectors must have one
     length.  A vector of no direction is in a cell that every exact search reads.
@@ -68,6 +69,7 @@ def build(memories: DataFrame, path: str, cells: int | None = None, sample: int
     radius = spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
     centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(at)], "cell int, centroid array<double>")
     centroids.join(radius, "cell").write.mode("overwrite").parquet(f"{path}/cells")
+    return n
 
 
 def search(spark: SparkSession, path: str, query: Sequence[float], k: int = 10, probes: int | None = None, exact: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnmem.functions import dates
 from cairnmem.operators import claims as c
 from cairnmem.operators import cognition as g
 from cairnmem.operators import graph, lifecycle, oplog, recall, vector_index
@@ -92,6 +93,21 @@ def eval_by_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tag", "n", F.round(F.col("pass_rate") * F.col("n")).cast("long").alias("n_passing"), F.round(F.col("mrr") * F.col("n"), 4).alias("total_rank"))
 
 
+@query(
+    given(
+        MEMORIES, EDGE_LOG,
+        body="""SELECT (SELECT count(embedding) FROM memories) AS vectors, (SELECT count(*) FROM (SELECT src FROM place_edges UNION SELECT dst FROM place_edges)) AS entities,
+        (SELECT count(*) FROM place_edges) AS edges""",
+    )
+)
+def rebuilt_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rebuilding the indexes of vectors and of the graph counts."""
+    path, edges = scratch(spark, "vectors"), tables.place_edges(spark, sf_dir)
+    n = vector_index.build(_m(spark, sf_dir), path, cells=16)
+    both = graph.both_ways(edges).agg(F.countDistinct("entity").alias("entities"), (F.count("*") / 2).cast("long").alias("edges"))
+    return both.select(F.lit(n).cast("long").alias("vectors"), "entities", "edges")
+
+
 # ---- lifecycle
 
 
@@ -354,8 +370,51 @@ def urge_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("state", F.substring_index("cooldown_key", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query(
+    cognition_queries._recursive(
+        MEMORIES, cognition_queries._DECAY_TRIGGERS, "best AS (SELECT * FROM active WHERE type = 'episodic' ORDER BY importance DESC, rid LIMIT 100)",
+        cognition_queries._CLUSTERS.replace("FROM active WHERE embedding", "FROM best WHERE embedding"),
+        body="""
+        SELECT 'triggers' AS phase, (SELECT count(*) FROM decay_triggers) + (SELECT count(*) FROM ready) AS n_rows
+        UNION ALL SELECT 'consolidation', count(DISTINCT cluster) FROM clusters
+        UNION ALL SELECT 'personality', 4 * count(DISTINCT namespace) FROM active""",
+    )
+)
+def think_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round of thinking with consolidation: what each phase found."""
+    config = g.ThinkConfig(
+        run_conflict_scan=False, run_pattern_mining=False, consolidation_sim_threshold=cognition_queries.SIMILAR, consolidation_time_window_days=7
+    )
+    return g.think(_m(spark, sf_dir), tables.place_edges(spark, sf_dir), NOW, config)[1]
+
+
+@query(
+    """WITH e AS (SELECT 'Sarah' || chr(97 + (c_custkey % 26)::int) AS src, 'NATION' || c_nationkey AS dst, CASE WHEN c_custkey % 2 = 0 THEN 'lives_in' ELSE 'visits' END AS rel_type FROM customer),
+    t AS (SELECT src AS name, rel_type = 'lives_in' AS p, 'person' AS shape FROM e UNION ALL SELECT dst, false, 'tech' FROM e)
+    SELECT name, any_value(shape) AS entity_type FROM t GROUP BY name"""
+)
+def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with their types, of edges of which half are new."""
+    k = F.col("c_custkey")
+    all_ = tables.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("Sarah"), F.chr(97 + k % 26)).alias("src"), F.concat(F.lit("NATION"), "c_nationkey").alias("dst"),
+        F.when(k % 2 == 0, "lives_in").otherwise("visits").alias("rel_type"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("at"), k.alias("nth"),
+    )
+    return graph.relate(all_.where("nth % 4 < 2"), all_.where("nth % 4 >= 2"))[1]
+
+
 # ---- log and exchange
 
+
+@query("SELECT event_id, round(CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN epoch_us(date_trunc('day', ts)) / 1000000.0::double WHEN 2 THEN epoch_us(ts) / 1000000.0::double - 7200 ELSE epoch_us(ts) / 1000000.0::double END, 3) AS at FROM events")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of all events, read from ISO 8601 texts of several forms; other texts are no times."""
+    n, whole = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.when(n % 5 == 0, F.concat(whole, F.lit("Z"))).when(n % 5 == 1, whole).when(n % 5 == 2, F.concat(whole, F.lit("+0200")))
+    text = text.when(n % 5 == 3, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.concat(F.lit("about "), whole))
+    return _e(spark, sf_dir).select("event_id", F.round(dates.iso_seconds(text), 3).alias("at"))
+
+
 _MARKS = """log AS (SELECT *, 'db' || (hlc % 3) AS db FROM oplog),
     marks AS (SELECT origin_actor AS peer, db, max(hlc) AS hlc, arg_max(op_id, (hlc, op_id)) AS op_id FROM log GROUP BY ALL)"""
 
