@@ -290,7 +290,8 @@ class _Join:
         """Up to so many pairs a document, with leaders of its lists; whether any documents were connected.
 
         A list is dealt by hash, and each part has one leader; a document takes those that most of its
-        lists name.
+        lists name.  Leaders are others each round, so that few pairs are tested twice, which costs less
+        than to sort them out.
         """
         deal = F.xxhash64("row", F.lit(seed))
         lead = F.min(F.struct(deal.alias("h"), "row", "size", "pos", "root")).alias("lead")
@@ -299,8 +300,7 @@ class _Join:
         fits = _can_link(self.percent, F.col("size"), F.col("pos"), lead["size"], lead["pos"])
         votes = _dealt(self.index).join(_every(lists), ["token", "salt"]).where((F.col("root") != lead["root"]) & fits)
         votes = votes.groupBy("row", lead["row"].alias("other"))
-        votes = votes.agg(F.count("*").alias("votes"))
-        votes = self._untested(votes.withColumns({"a": F.least("row", "other"), "b": F.greatest("row", "other")}))
+        votes = votes.agg(F.count("*").alias("votes")).withColumns({"a": F.least("row", "other"), "b": F.greatest("row", "other")})
         place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("votes"), "other"))
         return self._connect(votes.withColumn("place", place).where(F.col("place") <= leaders).select("a", "b").distinct())
 
