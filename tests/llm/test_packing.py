@@ -60,3 +60,15 @@ def test_piece_lengths():
     for n in range(1, 300):
         lengths = packing.piece_lengths(n, 64)
         assert sum(lengths) == n and lengths == sorted(lengths, reverse=True) and max(lengths) <= 64
+
+
+def test_batches_draw_from_one_bucket(documents):
+    packed = packing.pack(documents, 64, with_ids=False)
+    rows = packing.batches(packed, 128).collect()
+    assert sorted(r["sequence_id"] for r in rows) == sorted(r["sequence_id"] for r in packed.collect())
+    held = {}
+    for r in rows:
+        held.setdefault(r["batch_id"], []).append(r["length"])
+    assert all(len(set(b)) == 1 and sum(b) <= 128 for b in held.values())
+    # All but the last batch of each task and bucket are full.
+    assert sum(sum(b) < 128 for b in held.values()) <= len({k.rsplit("-", 1)[0] for k in held})
