@@ -48,8 +48,9 @@ FRAGMENTS = 8
 MAX_ROUNDS = 5
 PAIRS_PER_ENTRY = 1
 MAX_LEADERS = 64
-#: Parts of a list in the joins of its entries with what there is once a list.
+#: Parts of a list in the joins of its entries with what there is once a list, and the entries from which leaders come in parts.
 SALTS = 8
+HOT_LIST = 256
 #: Distinct n-grams of representatives in a block of the second exchange, about.
 BLOCK_KEYS = 1 << 20
 
@@ -239,14 +240,16 @@ def _can_link(percent: int, size: Column, pos: Column, size_2: Column, pos_2: Co
     )
 
 
-def _dealt(entries: DataFrame) -> DataFrame:
-    """Entries of lists dealt to ``SALTS`` parts, so that no task gets all of an n-gram that many have."""
-    return entries.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+def _dealt(entries: DataFrame, hot: Column | None = None) -> DataFrame:
+    """Entries of (hot) lists dealt to ``SALTS`` parts, so that no task gets all of an n-gram that many have."""
+    part = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    return entries.withColumn("salt", part if hot is None else F.when(hot, part).otherwise(0))
 
 
-def _every(lists: DataFrame) -> DataFrame:
+def _every(lists: DataFrame, hot: Column | None = None) -> DataFrame:
     """What there is of each list, for every part of it."""
-    return lists.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    parts = F.array(*map(F.lit, range(SALTS)))
+    return lists.withColumn("salt", F.explode(parts if hot is None else F.when(hot, parts).otherwise(F.array(F.lit(0)))))
 
 
 class _Join:
@@ -278,8 +281,8 @@ class _Join:
         entries = self.stage.write(self.index.select("token", "row", "size", "pos").join(self.labels, "row"), "entries")
         parts = entries.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
         pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
-        tokens = self.stage.write(parts.groupBy("token").agg(pairs.alias("p")).where("p > 0"), "tokens")
-        self.index = self.stage.write(_dealt(entries).join(_every(tokens.select("token")), ["token", "salt"], "left_semi").drop("salt"), "open")
+        tokens = self.stage.write(parts.groupBy("token").agg(pairs.alias("p"), F.sum("n").alias("n")).where("p > 0"), "tokens")
+        self.index = self.stage.write(_dealt(entries).join(_every(tokens.select("token", "n")), ["token", "salt"]).drop("salt"), "open")
         self.stage.drop(entries)
         return tokens.agg(F.sum("p")).first()[0] or 0.0
 
@@ -290,19 +293,19 @@ class _Join:
         """Up to so many pairs a document, with leaders of its lists; whether any documents were connected.
 
         A list is dealt by hash, and each part has one leader; a document takes those that most of its
-        lists name.  Leaders are others each round, so that few pairs are tested twice, which costs less
-        than to sort them out.
+        lists name.  Pairs that were tested before are left out at the end, where they are few and dealt by pair.
         """
         deal = F.xxhash64("row", F.lit(seed))
         lead = F.min(F.struct(deal.alias("h"), "row", "size", "pos", "root")).alias("lead")
-        lists = self.index.groupBy("token", F.pmod(deal, F.lit(leaders)).alias("part")).agg(lead)
-        lists, lead = self.stage.write(lists.select("token", "lead"), "lists"), F.col("lead")
+        lists = self.index.groupBy("token", F.pmod(deal, F.lit(leaders)).alias("part")).agg(lead, F.first("n").alias("n"))
+        lists, lead = self.stage.write(lists.select("token", "n", "lead"), "lists"), F.col("lead")
         fits = _can_link(self.percent, F.col("size"), F.col("pos"), lead["size"], lead["pos"])
-        votes = _dealt(self.index).join(_every(lists), ["token", "salt"]).where((F.col("root") != lead["root"]) & fits)
+        hot = F.col("n") > HOT_LIST
+        votes = _dealt(self.index, hot).drop("n").join(_every(lists, hot).drop("n"), ["token", "salt"]).where((F.col("root") != lead["root"]) & fits)
         votes = votes.groupBy("row", lead["row"].alias("other"))
         votes = votes.agg(F.count("*").alias("votes")).withColumns({"a": F.least("row", "other"), "b": F.greatest("row", "other")})
         place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("votes"), "other"))
-        return self._connect(votes.withColumn("place", place).where(F.col("place") <= leaders).select("a", "b").distinct())
+        return self._connect(self._untested(votes.withColumn("place", place).where(F.col("place") <= leaders).select("a", "b").distinct()))
 
     def _rest(self) -> None:
         """All pairs of different components that share a list and are not tested yet."""
