@@ -27,8 +27,10 @@ component, nulls last, so it is null only where all are.  Repeated rows are link
 texts.  An empty table gives no rows.  Other columns are ignored, or kept by ``drop_near_copies``.  A very
 long text is a chunk of its own, whose words must fit in a task; its set is verified a fragment at a time.
 
-Rounds and leaders only set how soon pairs are tested: what they leave is tested in full.  That last step is
-quadratic in the documents of one list that share a rare n-gram, could link by size and place, and yet do not.
+Rounds and leaders only set how soon pairs are tested: what they leave is tested in full.  In a hot list, documents
+near its leader are paired by the n-grams that they differ from it in, the others by the list.  That last step is still
+quadratic in the documents of one list that are far from its leader, or whose differences share an n-gram, where they
+could link by size and place, and yet do not.
 """
 
 from collections.abc import Iterator
@@ -286,18 +288,22 @@ class _Join:
         self.stage.drop(entries)
         return tokens.agg(F.sum("p")).first()[0] or 0.0
 
+    def _met(self, entries: DataFrame) -> DataFrame:
+        """Entries, with the number of entries that the lists of their document hold."""
+        return entries.join(self.stage.write(entries.groupBy("row").agg(F.sum("n").alias("met")), "met"), "row")
+
     def _untested(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.tested, ["a", "b"], "left_anti")
 
     def _star(self, seed: int, leaders: int) -> bool:
         """Up to so many pairs a document, with leaders of its lists; whether any documents were connected.
 
-        A list is dealt by hash, and each part has one leader; a document takes those that most of its
-        lists name.  Pairs that were tested before are left out at the end, where they are few and dealt by pair.
+        A list is dealt by hash, and each part has one leader: the document whose lists hold most entries, which has few
+        n-grams of its own and so is amid its near copies.  A document takes those that most of its lists name.  Pairs that were tested before are left out at the end, where they are few and dealt by pair.
         """
         deal = F.xxhash64("row", F.lit(seed))
-        lead = F.min(F.struct(deal.alias("h"), "row", "size", "pos", "root")).alias("lead")
-        lists = self.index.groupBy("token", F.pmod(deal, F.lit(leaders)).alias("part")).agg(lead, F.first("n").alias("n"))
+        lead = F.min(F.struct((-F.col("met")).alias("less"), deal.alias("h"), "row", "size", "pos", "root")).alias("lead")
+        lists = self._met(self.index).groupBy("token", F.pmod(deal, F.lit(leaders)).alias("part")).agg(lead, F.first("n").alias("n"))
         lists, lead = self.stage.write(lists.select("token", "n", "lead"), "lists"), F.col("lead")
         fits = _can_link(self.percent, F.col("size"), F.col("pos"), lead["size"], lead["pos"])
         hot = F.col("n") > HOT_LIST
@@ -308,11 +314,78 @@ class _Join:
         return self._connect(self._untested(votes.withColumn("place", place).where(F.col("place") <= leaders).select("a", "b").distinct()))
 
     def _rest(self) -> None:
-        """All pairs of different components that share a list and are not tested yet."""
-        x, y = (self.index.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "pos", "root"))) for s in "ab")
+        """All pairs of different components that share a list and are not tested yet.
+
+        Two documents near the leader of a hot list are paired by their n-grams off the leader only.
+        """
+        hot = F.col("n") > HOT_LIST
+        lists = self.index.withColumns({"near": F.lit(False), "lead": F.lit(None).cast("long")})
+        off = None
+        if self.index.where(hot).limit(1).count():
+            leads = self._met(self.index.where(hot)).groupBy("token").agg(F.min(F.struct((-F.col("met")).alias("less"), "row")).alias("l"))
+            leads = self.stage.write(leads.select("token", F.col("l.row").alias("lead")), "leads")
+            near, off = self._near(_dealt(self.index.where(hot)).join(_every(leads), ["token", "salt"]).select("lead", "row", "size").distinct())
+            self._open()
+            lists = self.index.join(leads, "token", "left").join(near.select("lead", "row", F.lit(True).alias("near")), ["lead", "row"], "left")
+            lists = self.stage.write(lists.withColumn("near", F.coalesce("near", F.lit(False))), "near-entries")
+        x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "pos", "root", "near"))) for s in "ab")
         fits = _can_link(self.percent, F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b"))
-        pairs = x.join(y, "token").where((F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b")) & fits)
-        self._connect(self._untested(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()))
+        once = (F.col("row_a") < F.col("row_b")) | F.col("near_b")
+        pairs = x.where("not near_a").join(y, "token").where(once & (F.col("root_a") != F.col("root_b")) & fits)
+        pairs = pairs.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+        self._connect(self._untested((pairs if off is None else pairs.unionByName(self._off(off))).distinct()))
+
+    def _near(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of documents and leaders of their lists (lead, row, size): those near each other, and the entries (lead,
+        token, row, ...) of what they differ in.
+
+        For any set C, x and y differ in as many n-grams as their differences from C, X and Y, do.  So they link when
+        2 (100 + percent) |X & Y| >= e(x) + e(y), where e(x) = (100 + percent) |X| - (100 - percent) |x|.  C is the
+        leader's n-grams that others have, too.  Where e(x) + e(y) <= 0, both link with the document of least e, and are
+        connected here; any other two share an n-gram of X and Y.
+        """
+        none, whole = F.array().cast("array<long>"), 100 + self.percent
+        mine = self.segments.select("row", "fragment", F.col("keys").alias("mine"))
+        its = self.segments.select(F.col("row").alias("lead"), "fragment", F.col("keys").alias("its"))
+        parts = members.withColumn("fragment", F.explode(F.array(*(F.lit(k).cast("long") for k in range(FRAGMENTS)))))
+        parts = parts.join(mine, ["row", "fragment"], "left").join(its, ["lead", "fragment"], "left")
+        parts = parts.withColumns({"mine": F.coalesce("mine", none), "its": F.coalesce("its", none)})
+        off = F.concat(F.array_except("mine", "its"), F.array_except("its", "mine")).alias("off")
+        parts = self.stage.write(parts.select("lead", "row", "size", F.size("mine").alias("m"), F.size("its").alias("c"), off), "parts")
+        sums = parts.groupBy("lead", "row", "size").agg(F.sum("m").alias("m"), F.sum("c").alias("c"), F.sum(F.size("off")).alias("d"))
+        # N-grams of one document are differences, too.
+        alone = F.col("size") - F.col("m")
+        sums = sums.withColumns({"alone": alone, "d": F.col("d") + alone, "e": whole * (F.col("d") + alone) - (100 - self.percent) * F.col("size")})
+        near = self.stage.write(sums.where(3 * F.col("d") <= F.col("size") + F.col("c")).select("lead", "row", "size", "alone", "d", "e"), "near")
+        least = self.stage.write(near.groupBy("lead").agg(F.min(F.struct("e", "row")).alias("least")).select("lead", "least.*"), "least")
+        star = near.join(least.toDF("lead", "e_2", "row_2"), "lead").where("e + e_2 <= 0 and row != row_2")
+        roots = (self.labels.toDF(f"row{s}", f"root{s}") for s in ("", "_2"))
+        star = star.join(next(roots), "row").join(next(roots), "row_2").where("root != root_2")
+        self._connect(self._untested(star.select(F.least("row", "row_2").alias("a"), F.greatest("row", "row_2").alias("b")).distinct()))
+        off = parts.select("lead", "row", F.explode("off").alias("token")).join(near, ["lead", "row"])
+        off = self.stage.write(off.join(least.select("lead", F.col("e").alias("least")), "lead"), "off")
+        return near, off
+
+    def _off(self, off: DataFrame) -> DataFrame:
+        """Pairs of different components that may link by what both differ from a leader in.
+
+        One of the two, b, does not link with the document of least e: e(b) > -least.  So the n-grams they must share
+        are so many, and the first of them, rarest first, stands in a prefix that is the shorter for it.
+        """
+        times = self.stage.write(off.groupBy("lead", "token").agg(F.count("*").alias("times")), "times")
+        off = _dealt(off).join(_every(times), ["lead", "token", "salt"]).drop("salt")
+        at = F.row_number().over(Window.partitionBy("lead", "row").orderBy("times", "token")) - 1 + F.col("alone")
+        off = off.withColumn("left", F.col("d") - at).where("times > 1").join(self.labels, "row")
+        twice = 2 * (100 + self.percent)
+        must = lambda e: F.greatest(F.lit(1), F.ceil(e / twice))
+        # As many n-grams as must be shared, at least, stand at the first shared one and after it.
+        index = self.stage.write(off.where(F.col("left") >= must(F.col("e") - F.abs("least"))), "off-index")
+        a, b = (index.select("lead", "token", "least", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "root", "e", "left"))) for s in "ab")
+        a = a.where(F.col("left_a") >= must(F.col("e_a") - F.col("least")))
+        pairs = a.join(b.where("e_b > -least").drop("least"), ["lead", "token"]).where("root_a != root_b")
+        pairs = pairs.where((twice * F.least("left_a", "left_b") >= F.col("e_a") + F.col("e_b")))
+        pairs = pairs.where(100 * F.least("size_a", "size_b") >= self.percent * F.greatest("size_a", "size_b"))
+        return pairs.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
 
     def _connect(self, pairs: DataFrame) -> bool:
         pairs = self.stage.write(pairs, "pairs")

@@ -62,6 +62,50 @@ def test_large_group_of_near_copies(spark, monkeypatch, per_entry):
     assert [found[i] for i, _ in rows] == brute(rows, 4, 85)
 
 
+def group(size, least, most):
+    """Copies of a text with so many words replaced by new ones, and texts that share a passage with it."""
+    rng = random.Random(size)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(size):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randint(least, most)):
+            words[at] = f"e{rng.randrange(3000)}"
+        rows.append((i, " ".join(words[: rng.randint(110, 120)])))
+    return rows + [(size + i, " ".join(f"u{i % 7} {rng.randrange(50)}" for _ in range(60)) + " " + " ".join(base[:30])) for i in range(size // 4)]
+
+
+@pytest.mark.parametrize(("least", "most"), [(0, 5), (1, 2), (2, 9)])
+def test_hot_lists_without_rounds(spark, monkeypatch, least, most):
+    """All links are found where every list is hot and no round has connected anything, whether or not a text is amid the others."""
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", 1)
+    monkeypatch.setattr(jaccard_join._Join, "_star", lambda self, seed, leaders: False)
+    rows = group(150, least, most)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_copies(df, 4, 85).collect()}
+    assert [found[i] for i, _ in rows] == brute(rows, 4, 85)
+
+
+def test_pairs_grow_with_the_group(spark, monkeypatch):
+    """Twice the near copies of a text have about twice the pairs tested, those that do not link included."""
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", 32)
+    connect, counts = jaccard_join._Join._connect, []
+
+    def counted(self, pairs):
+        pairs = self.stage.write(pairs, "counted")
+        counts[-1] += pairs.count()
+        return connect(self, pairs)
+
+    monkeypatch.setattr(jaccard_join._Join, "_connect", counted)
+    for size in (200, 800):
+        counts.append(0)
+        rows = group(size, 0, 5)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_copies(df, 4, 85).collect()}
+        assert [found[i] for i, _ in rows] == brute(rows, 4, 85)
+    assert counts[1] <= 8 * counts[0], counts
+
+
 def test_odd_rows(odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     out = jaccard_join.near_copies(odd, 4, 85).collect()
