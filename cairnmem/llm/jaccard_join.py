@@ -14,8 +14,9 @@ threshold.  The result names the components of these links.
 
 Candidates come in rounds.  In a list of the documents of a prefix n-gram, each document is first
 paired with leaders of the list (others each round): one pair a document, then four, and so on
-up to ``MAX_LEADERS``; documents that are connected already need no pair.  When a round connects nothing more, all remaining pairs
-within a list, between different components, are verified.  So a large group of near copies costs a
+up to ``MAX_LEADERS``; documents that are connected already need no pair.  A list that has few pairs between different
+components left after the first round has them verified at once, and is left out of later rounds.  When a round connects nothing
+more, all remaining pairs within a list, between different components, are verified.  So a large group of near copies costs a
 few pairs a member, and no link between different components is ever skipped.
 
 Lists, leaders and labels are plain tables.  The entries of a list meet its leaders in ``SALTS`` parts; what else
@@ -171,11 +172,14 @@ def _pivots(mass: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-_CUT = {"token": pa.int64(), "row": pa.int64(), "size": pa.int64(), "pos": pa.int64(), "fragment": pa.int64(), "keys": pa.list_(pa.int64())}
+_CUT = {
+    "token": pa.int64(), "row": pa.int64(), "size": pa.int64(), "pos": pa.int64(), "hot": pa.bool_(), "fragment": pa.int64(),
+    "keys": pa.list_(pa.int64()),
+}
 
 
 def _cut(blocks: DataFrame, percent: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """The prefix index (token, row, size, pos) and the segments (row, size, fragment, keys)."""
+    """The prefix index (token, row, size, pos, and whether a hot list is possible) and the segments (row, size, fragment, keys)."""
     how = chunks.plan(blocks, "n_keys")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +220,8 @@ def _cut(blocks: DataFrame, percent: int, stage: Stage) -> tuple[DataFrame, Data
         fragment = np.searchsorted(pivots, place, side="right")
         edges = np.flatnonzero(np.diff(owner * FRAGMENTS + fragment, prepend=-1))
         index = {"token": keys[lead].view(np.int64), "row": rows[owner[lead]], "size": sizes[owner[lead]], "pos": pos[lead]}
+        # No list is longer than the n-gram is frequent.
+        index["hot"] = bins[order][lead] >= _bin(np.array([HOT_LIST]))[0]
         segments = {
             "row": rows[owner[edges]], "size": sizes[owner[edges]], "fragment": fragment[edges].astype(np.int64),
             "keys": pa.ListArray.from_arrays(pa.array(np.append(edges, len(keys)).astype(np.int32)), pa.array(keys.view(np.int64))),
@@ -225,12 +231,12 @@ def _cut(blocks: DataFrame, percent: int, stage: Stage) -> tuple[DataFrame, Data
         ])
 
     found = blocks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        cut, "token long, row long, size long, pos long, fragment long, keys array<long>"
+        cut, "token long, row long, size long, pos long, hot boolean, fragment long, keys array<long>"
     )
     found = stage.write(found.withColumn("kind", F.when(F.col("fragment").isNull(), "index").otherwise("segment")), "cut", by="kind")
     stage.drop(replies)
     return (
-        found.where("kind = 'index'").select("token", "row", "size", "pos"),
+        found.where("kind = 'index'").select("token", "row", "size", "pos", "hot"),
         found.where("kind = 'segment'").select("row", "size", "fragment", "keys"),
     )
 
@@ -265,28 +271,42 @@ class _Join:
 
     def run(self, rounds: int = MAX_ROUNDS) -> None:
         """Connect everything that links."""
-        size = self.index.count()
         leaders = 1
         for k in range(rounds):
-            pairs = self._open()
-            # Pairs in proportion to the index are looked at directly; more are thinned out by leaders.
-            if k and pairs <= PAIRS_PER_ENTRY * size or not self._star(k, leaders):
-                self._rest()
-                return
+            many = self._open()
+            # Where a list has pairs in proportion to its entries, they are looked at directly; more are thinned out by leaders.
+            if k and not many or not self._star(k, leaders):
+                break
             leaders = min(4 * leaders, MAX_LEADERS)
-        self._open()
+        else:
+            self._open()
         self._rest()
 
-    def _open(self) -> float:
-        """Keep the entries of lists that hold more than one component, as the others never open again; how
-        many pairs of different components they hold."""
-        entries = self.stage.write(self.index.select("token", "row", "size", "pos").join(self.labels, "row"), "entries")
-        parts = entries.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
+    def _open(self) -> bool:
+        """Keep the entries of lists that hold more than one component, as the others never open again; whether any
+        of them holds more than ``PAIRS_PER_ENTRY`` pairs of different components an entry, and so not few."""
+        entries = self.stage.write(self.index.select("token", "row", "size", "pos", "hot").join(self.labels, "row"), "entries")
+        parts = entries.groupBy("token", "root", "hot").agg(F.count("*").cast("double").alias("n"))
         pairs = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
-        tokens = self.stage.write(parts.groupBy("token").agg(pairs.alias("p"), F.sum("n").alias("n")).where("p > 0"), "tokens")
-        self.index = self.stage.write(_dealt(entries).join(_every(tokens.select("token", "n")), ["token", "salt"]).drop("salt"), "open")
+        tokens = parts.groupBy("token", "hot").agg(pairs.alias("p"), F.sum("n").alias("n"), F.max(F.struct("n", "root"))["root"].alias("major"))
+        tokens = tokens.where("p > 0").withColumn("few", F.col("p") <= PAIRS_PER_ENTRY * F.col("n"))
+        tokens = self.stage.write(tokens.select("token", "hot", F.col("n").cast("long"), "major", "few"), "tokens")
+        hot = F.col("hot")
+        self.index = self.stage.write(_dealt(entries, hot).join(_every(tokens, hot).drop("hot"), ["token", "salt"]).drop("salt"), "open")
         self.stage.drop(entries)
-        return tokens.agg(F.sum("p")).first()[0] or 0.0
+        return bool(tokens.where("not few").limit(1).count())
+
+    def _few(self) -> DataFrame:
+        """All pairs of different components in lists with few of them.
+
+        One of the two is not of the list's largest component, so the join makes at most four times as many.
+        """
+        lists = self.index.where("few")
+        x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "pos", "root", "major"))) for s in "ab")
+        fits = _can_link(self.percent, F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b"))
+        once = (F.col("row_a") < F.col("row_b")) | (F.col("root_b") == F.col("major_b"))
+        pairs = x.where("root_a != major_a").join(y, "token").where(once & (F.col("root_a") != F.col("root_b")) & fits)
+        return pairs.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
 
     def _met(self, entries: DataFrame) -> DataFrame:
         """Entries, with the number of entries that the lists of their document hold."""
@@ -296,29 +316,38 @@ class _Join:
         return pairs.join(self.tested, ["a", "b"], "left_anti")
 
     def _star(self, seed: int, leaders: int) -> bool:
-        """Up to so many pairs a document, with leaders of its lists; whether any documents were connected.
+        """Up to so many pairs a document, with leaders of its lists; whether any documents were connected.  After
+        the first round, lists with few pairs have all of them tested instead, and are done with.
 
         A list is dealt by hash, and each part has one leader: the document whose lists hold most entries, which has few
         n-grams of its own and so is amid its near copies.  A document takes those that most of its lists name.  Pairs that were tested before are left out at the end, where they are few and dealt by pair.
         """
         deal = F.xxhash64("row", F.lit(seed))
         lead = F.min(F.struct((-F.col("met")).alias("less"), deal.alias("h"), "row", "size", "pos", "root")).alias("lead")
-        lists = self._met(self.index).groupBy("token", F.pmod(deal, F.lit(leaders)).alias("part")).agg(lead, F.first("n").alias("n"))
+        index = self.index.where("not few") if seed else self.index
+        lists = self._met(index).groupBy("token", F.pmod(deal, F.lit(leaders)).alias("part")).agg(lead, F.first("n").alias("n"))
         lists, lead = self.stage.write(lists.select("token", "n", "lead"), "lists"), F.col("lead")
         fits = _can_link(self.percent, F.col("size"), F.col("pos"), lead["size"], lead["pos"])
         hot = F.col("n") > HOT_LIST
-        votes = _dealt(self.index, hot).drop("n").join(_every(lists, hot).drop("n"), ["token", "salt"]).where((F.col("root") != lead["root"]) & fits)
+        votes = _dealt(index.select("token", "row", "size", "pos", "root", "n"), hot).drop("n").join(_every(lists, hot).drop("n"), ["token", "salt"]).where((F.col("root") != lead["root"]) & fits)
         votes = votes.groupBy("row", lead["row"].alias("other"))
         votes = votes.agg(F.count("*").alias("votes")).withColumns({"a": F.least("row", "other"), "b": F.greatest("row", "other")})
         place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("votes"), "other"))
-        return self._connect(self._untested(votes.withColumn("place", place).where(F.col("place") <= leaders).select("a", "b").distinct()))
+        pairs = votes.withColumn("place", place).where(F.col("place") <= leaders).select("a", "b")
+        if seed:
+            pairs, self.index = pairs.unionByName(self._few()), self.index.where("not few")
+        connected = self._connect(self._untested(pairs.distinct()))
+        if seed == 1:
+            # From here on only the documents of lists with many pairs are compared.
+            self.segments = self.stage.write(self.segments.join(self.index.select("row").distinct(), "row", "left_semi"), "segments")
+        return connected
 
     def _rest(self) -> None:
         """All pairs of different components that share a list and are not tested yet.
 
         Two documents near the leader of a hot list are paired by their n-grams off the leader only.
         """
-        hot = F.col("n") > HOT_LIST
+        hot = (F.col("n") > HOT_LIST) & ~F.col("few")
         lists = self.index.withColumns({"near": F.lit(False), "lead": F.lit(None).cast("long")})
         off = None
         if self.index.where(hot).limit(1).count():
@@ -328,11 +357,12 @@ class _Join:
             self._open()
             lists = self.index.join(leads, "token", "left").join(near.select("lead", "row", F.lit(True).alias("near")), ["lead", "row"], "left")
             lists = self.stage.write(lists.withColumn("near", F.coalesce("near", F.lit(False))), "near-entries")
+        lists = lists.where("not few")
         x, y = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "pos", "root", "near"))) for s in "ab")
         fits = _can_link(self.percent, F.col("size_a"), F.col("pos_a"), F.col("size_b"), F.col("pos_b"))
         once = (F.col("row_a") < F.col("row_b")) | F.col("near_b")
         pairs = x.where("not near_a").join(y, "token").where(once & (F.col("root_a") != F.col("root_b")) & fits)
-        pairs = pairs.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+        pairs = pairs.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).unionByName(self._few())
         self._connect(self._untested((pairs if off is None else pairs.unionByName(self._off(off))).distinct()))
 
     def _near(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:

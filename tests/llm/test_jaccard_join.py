@@ -106,6 +106,24 @@ def test_pairs_grow_with_the_group(spark, monkeypatch):
     assert counts[1] <= 8 * counts[0], counts
 
 
+def test_short_lists_leave_the_rounds(spark, monkeypatch):
+    """Unlike texts of passages that two have each are tested at once; neither their lists nor their n-grams go through the rounds of a large group."""
+    star, seen = jaccard_join._Join._star, []
+
+    def counted(self, seed, leaders):
+        rows = self.index.select("row").distinct()
+        seen.append((self.index.count(), self.segments.join(rows, "row", "left_anti").select("row").distinct().count()))
+        return star(self, seed, leaders)
+
+    monkeypatch.setattr(jaccard_join._Join, "_star", counted)
+    passages = [" ".join(f"p{i} {k}" for k in range(20)) for i in range(600)]
+    rows = group(300, 0, 5) + [(10000 + i, f"{passages[i - 1]} {passages[i]}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_copies(df, 4, 85).collect()}
+    assert [found[i] for i, _ in rows] == brute(rows, 4, 85)
+    assert len(seen) > 2 and 2 * seen[2][0] < seen[0][0] and seen[2][1] < 100, seen
+
+
 def test_odd_rows(odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     out = jaccard_join.near_copies(odd, 4, 85).collect()
