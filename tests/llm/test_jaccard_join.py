@@ -124,6 +124,30 @@ def test_short_lists_leave_the_rounds(spark, monkeypatch):
     assert len(seen) > 2 and 2 * seen[2][0] < seen[0][0] and seen[2][1] < 100, seen
 
 
+@pytest.mark.parametrize("hot_list", [256, 32])
+def test_only_frequent_ngrams_are_dealt_in_parts(spark, monkeypatch, hot_list):
+    """What there is of a list is copied to parts where the list may be hot, and every hot list may be."""
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", hot_list)
+    every, start, counts = jaccard_join._every, jaccard_join._Join.__init__, []
+
+    def counted(lists, hot=None):
+        out = every(lists, hot)
+        counts.append((lists.count(), out.count()))
+        return out
+
+    def started(self, index, segments, percent, stage):
+        start(self, index, segments, percent, stage)
+        counts.extend((r["count"], 0) for r in index.where("not hot").groupBy("token").count().where(f"count > {hot_list}").collect())
+
+    monkeypatch.setattr(jaccard_join, "_every", counted)
+    monkeypatch.setattr(jaccard_join._Join, "__init__", started) if hot_list < 256 else None
+    rows = group(100, 0, 5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_copies(df, 4, 85).collect()}
+    assert [found[i] for i, _ in rows] == brute(rows, 4, 85)
+    assert counts and all(out for _, out in counts) and (hot_list < 256 or all(out == n for n, out in counts)), counts
+
+
 def test_odd_rows(odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     out = jaccard_join.near_copies(odd, 4, 85).collect()
